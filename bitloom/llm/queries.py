@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import formats, leakage, lookalike, quality, residue
+from bitloom.llm import formats, leakage, lookalike, pairs, quality, residue
 from bitloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def queries() -> dict[str, Query]:
         "p1_found": _over(residue.found, "trans_unit"),
         "p1_kinds": _over(residue.cases, "trans_unit"),
         "p3_found": _over(lookalike.found, "terminology"),
+        "p4_found": _over(pairs.found, "trans_unit", "xliff_file"),
+        "p4_defects": _over(pairs.defects, "trans_unit", "xliff_file"),
         "p6_found": _over(formats.found, "terminology", "glossary"),
         "p6_records": _over(formats.records, "terminology", "glossary"),
         "p7_found": _over(leakage.found, "documents", "eval_items"),
