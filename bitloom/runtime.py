@@ -78,3 +78,22 @@ def salted_join(
     return left.join(right, cond + [F.col("_salt") == F.col("_rsalt")], how).drop(
         "_salt", "_rsalt", *[f"_r_{k}" for k in key]
     )
+
+
+#: Up to so many ids are broadcast, after they were counted (8 MB of longs).
+BROADCAST_IDS = 1_000_000
+
+
+def semi_join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is among ``ids``; broadcast only up to a counted bound, shuffled beyond it."""
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, never more than twice as many, chosen by the hash of a unique key: for fitting, never for results."""
+    total = df.count()
+    if total <= rows:
+        return df
+    share = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    return df.where(share < rows / total).limit(2 * rows)
