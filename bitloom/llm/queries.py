@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import formats, leakage, lookalike, pairs, quality, residue
+from bitloom.llm import bitext, formats, leakage, lookalike, pairs, quality, residue
 from bitloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "p3_found": _over(lookalike.found, "terminology"),
         "p4_found": _over(pairs.found, "trans_unit", "xliff_file"),
         "p4_defects": _over(pairs.defects, "trans_unit", "xliff_file"),
+        "p5_found": _over(bitext.found, "trans_unit", "xliff_file", "base_lexicon"),
+        "p5_links": _over(bitext.links, "trans_unit", "xliff_file", "base_lexicon"),
         "p6_found": _over(formats.found, "terminology", "glossary"),
         "p6_records": _over(formats.records, "terminology", "glossary"),
         "p7_found": _over(leakage.found, "documents", "eval_items"),
