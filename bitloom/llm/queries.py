@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import bitext, formats, leakage, lookalike, pairs, quality, residue
+from bitloom.llm import bitext, formats, leakage, lookalike, mixing, pairs, pieces, quality, residue
 from bitloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(residue.found, "trans_unit"),
         "p1_kinds": _over(residue.cases, "trans_unit"),
+        "p2_found": _over(pieces.found, "chunks_manifest", "chunk_file"),
+        "p2_pieces": _over(pieces.pieces, "chunks_manifest", "chunk_file"),
+        "p2_delivery": _over(pieces.delivery, "chunks_manifest", "chunk_file"),
         "p3_found": _over(lookalike.found, "terminology"),
         "p4_found": _over(pairs.found, "trans_unit", "xliff_file"),
         "p4_defects": _over(pairs.defects, "trans_unit", "xliff_file"),
@@ -30,6 +33,8 @@ def queries() -> dict[str, Query]:
         "p6_records": _over(formats.records, "terminology", "glossary"),
         "p7_found": _over(leakage.found, "documents", "eval_items"),
         "p7_items": _over(leakage.by_item, "documents", "eval_items"),
+        "p8_selection": _over(mixing.selection, "documents", "mix_targets"),
+        "p8_shares": _over(mixing.shares, "documents", "mix_targets"),
         "p9_found": _over(quality.found, "documents", "common_words"),
         "p9_statistics": _over(quality.statistics, "documents", "common_words"),
     }
