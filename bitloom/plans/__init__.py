@@ -1 +1 @@
-
+"""Whole pipelines, and the queries with their SQL."""

@@ -97,3 +97,10 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
         return df
     share = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
     return df.where(share < rows / total).limit(2 * rows)
+
+
+def join_nulls_equal(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns in which null equals null; the columns are those of the left side."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
