@@ -68,9 +68,22 @@ def tmx_documents(pairs: DataFrame, source_lang: Column, target_lang: Column, cr
     return units.select(key, F.concat(head, F.array_join(F.transform("us", lambda x: x["u"]), ""), F.lit("</body></tmx>")).alias("content"))
 
 
-def write_text(contents: DataFrame, path: str, key: str = "doc_id") -> None:
-    """One file for each row, in a folder named by the key."""
-    contents.select(key, "content").write.partitionBy(key).mode("overwrite").text(path, lineSep="")
+def write_files(contents: DataFrame, folder: str, name: Column) -> None:
+    """The ``content`` of each row as a file of its own, byte for byte, in a folder that all workers reach.
+
+    Tasks write their rows themselves; a task that runs again writes the same files again.
+    """
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for r in rows:
+            path = f"{base}/{r.name}"
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(r.content.encode())
+
+    contents.select(name.alias("name"), "content").foreachPartition(write)
 
 
 def segment_map(pairs: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
@@ -95,9 +108,9 @@ def write_csv(rows: DataFrame, path: str, order: list[str] | None = None) -> Non
     ordered.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
-def write_chunks(chunks: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Each chunk as a file of its own, in a folder per document and chunk."""
-    chunks.select(key, "name", F.col("chunk").alias("content")).write.partitionBy(key, "name").mode("overwrite").text(path, lineSep="")
+def write_chunks(chunks: DataFrame, folder: str, key: str = "doc_id") -> None:
+    """Each chunk as a file of its own, in a folder per document."""
+    write_files(chunks.select(key, "name", F.col("chunk").alias("content")), folder, F.concat_ws("/", F.col(key).cast("string"), "name"))
 
 
 def glossary_json(glossary: DataFrame, summary: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
