@@ -40,5 +40,43 @@ def queries() -> dict[str, Query]:
     }
 
 
+# What formats.IGNORED leaves out, for an engine whose classes are ASCII.
+_IGNORED = r"[\s\x0b\x{85}\p{Z}\p{P}!-/:-@\[-`{-~]+"
+
+
+def _canonical(x: str) -> str:
+    return f"regexp_replace(lower({x}), '{_IGNORED}', '', 'g')"
+
+
+def _part(*cols: str) -> str:
+    return " || chr(2) || ".join(f"coalesce('=' || {c}, '0')" for c in cols)
+
+
+_TERM_A = _part(_canonical("source_lang"), _canonical("source"))
+_TERM_B = _part(_canonical("target_lang"), _canonical("target"))
+_KEYED = f"""
+keyed as (
+  select 'terminology' as table_name, term_id as id, least({_TERM_A}, {_TERM_B}) || chr(1) || greatest({_TERM_A}, {_TERM_B}) as k,
+    {_part('source_lang', 'source', 'target_lang', 'target')} as raw from terminology
+  union all select 'glossary', entry_id, {_part('direction')} || chr(1) || {_part(_canonical('term'))} || chr(1) || {_part('translation')},
+    {_part('direction', 'term', 'translation')} from glossary)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    word = r"[\p{L}\p{N}]+"
+    return {
+        "p2_found": """select manifest_id, chunk_no from chunk_file join chunks_manifest using (manifest_id)
+where length(chunk_text) > case when chunk_size >= 1 then chunk_size else 5000 end""",
+        "p6_found": f"""with {_KEYED} select table_name, first_id, id as copy_id
+from (select *, min(id) over (partition by table_name, k) as first_id from keyed) where id <> first_id""",
+        "p6_records": f"with {_KEYED} select table_name, min(id) as first_id, count(*) as copies, count(distinct raw) as forms from keyed group by table_name, k",
+        "p7_found": f"""with words as (select doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{word}') as w from documents),
+items as (select item_id, item_lang like 'zh%' as zh, regexp_extract_all(replace(lower(item_text), 'ß', 'ss'), '{word}') as w from eval_items),
+grams as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from words),
+item_grams as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from items where not zh),
+letters as (select doc_id, array_to_string(w, '') as c from words where len(w) > 0),
+item_letters as (select item_id, array_to_string(w, '') as c from items where zh),
+runs as (select item_id, unnest(list_transform(range(1, length(c) - 22), lambda i: substr(c, i, 24))) as r from item_letters where length(c) >= 24),
+doc_runs as (select doc_id, unnest(list_transform(range(1, length(c) - 22), lambda i: substr(c, i, 24))) as r from letters where length(c) >= 24)
+select distinct doc_id, item_id from grams join item_grams using (g) union select distinct doc_id, item_id from doc_runs join runs using (r)""",
+    }
