@@ -69,8 +69,8 @@ class Transducer:
             node[""] = out
         self.memo: dict[str, str] = {}
         for key, out in rules.items():
-            if self(out) != out:
-                raise RuleConflict(f"{key!r} gives {out!r}, which is rewritten to {self(out)!r}")
+            if self.cluster(out) != out:
+                raise RuleConflict(f"{key!r} gives {out!r}, which is rewritten to {self.cluster(out)!r}")
 
     def cluster(self, text: str) -> str:
         """One cluster: split into base and marks, rewritten by longest match, composed again."""

@@ -6,7 +6,8 @@ probabilities of a source move through the null space of two constraints, the nu
 tokens, three documents at a time: each step decides at least one of them and changes neither total.
 This flight runs inside each partition with three open documents per source in memory; what a partition
 leaves open (two documents per source at most) takes part in a second flight by source; the two documents that
-are left per source in the end are the landing problem, solved with the token constraint dropped.
+are left per source in the end are the landing problem, solved with the token constraint dropped. So a source's
+tokens miss what was wanted by no more than those of its last two documents.
 
 The default total is the largest for which every present source reaches its share within its repeats;
 the shares of absent sources are spread over the others in proportion. With a larger total, sources give

@@ -7,7 +7,8 @@ lengths and numbers of pieces are stitched and summed up in order, which gives e
 and first piece number; then each worker emits its pieces by offset. No worker holds more than a range.
 
 A piece has at most ``limit`` characters (Unicode code points). Every piece but the first begins with
-the last ``overlap`` characters of the text before it; without the overlaps the pieces are the item. A cut goes to the strongest
+the last ``overlap`` characters of the text before it, or all of that text if it is shorter; without
+the overlaps the pieces are the item. A cut goes to the strongest
 boundary in the second half of the room (paragraph, sentence, line, clause, word; the latest of
 equals), else to any in the first half, else between two grapheme clusters.
 
@@ -104,7 +105,7 @@ def cuts(text: str, own: int, size: int, limit: int, overlap: int, first: bool,
     stop = end if last else best_cut(text, at, strength, end - room, end)
     out, done = [], begin
     while done < stop:
-        start = done if first and not out else done - overlap
+        start = max(0, done if first and not out else done - overlap)
         high = start + limit
         cut = stop if stop <= high else best_cut(text, at, strength, done, high)
         out.append((start, cut))
