@@ -87,10 +87,23 @@ def has_token(text: Column) -> Column:
 
 
 def contains_term(text: Column, term: Column) -> Column:
-    """A term with ASCII letters or digits must stand alone, in any case; any other must occur as it is."""
+    """A term with ASCII letters or digits must stand alone, in any case; any other must occur as it is.
+
+    The first place where the term occurs is looked at without a pattern, as one made from a column is compiled
+    for every row; only if that place is inside a word, a pattern looks for others.
+    """
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    alone = F.concat(F.lit("(?iu)(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
-    hit = F.when(term.rlike("[A-Za-z0-9]"), F.regexp(text, alone)).otherwise(F.contains(text, term))
+    pattern = F.concat(F.lit("(?iu)(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
+    low, low_term = F.lower(text), F.lower(term)
+    at = F.instr(low, low_term)
+    around = F.concat(
+        F.when(at > 1, F.substring(low, at - 1, F.lit(1))).otherwise(""), F.substring(low, at + F.length(low_term), F.lit(1))
+    )
+    alone = (
+        F.when(at == 0, False).when((F.length(low) == F.length(text)) & ~around.rlike("[a-z0-9_]"), True)
+        .otherwise(F.regexp(text, pattern))
+    )
+    hit = F.when(term.rlike("[A-Za-z0-9]"), alone).otherwise(F.contains(text, term))
     return F.when((text == "") | (term == ""), False).otherwise(hit)
 
 

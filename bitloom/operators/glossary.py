@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import contains_term, strip
-from bitloom.runtime import join_nulls_equal
+from bitloom.runtime import join_nulls_equal, spread
 
 # Fragments that speak for the shop domain, in order; the first count two, the others one.
 STRONG_KEYWORDS = (
@@ -24,7 +24,7 @@ DOMAIN_SCORE = 3
 MATCHES_KEPT = 20
 EXAMPLES_KEPT = 10
 #: A glossary up to so many rows is broadcast, after its rows were counted.
-BROADCAST_TERMS = 100_000
+BROADCAST_TERMS = 20_000
 
 
 def directed(terms: DataFrame, reverse: Column, order: str, group: list[str]) -> DataFrame:
@@ -93,11 +93,8 @@ def term_key(term: Column) -> Column:
 def text_keys(text: Column) -> Column:
     """The keys of all terms that a text can hold."""
     words = F.transform(F.regexp_extract_all(text, F.lit(_LATIN), F.lit(0)), lambda w: F.lower(w))
-    n = F.length(text)
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.array(F.substring(text, i, F.lit(2)), F.substring(text, i, F.lit(1))),
-    ))
+    signs = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    grams = F.concat(signs, F.zip_with(signs, F.slice(signs, F.lit(2), F.greatest(F.size(signs), F.lit(1))), lambda a, b: F.concat(a, b)))
     return F.array_distinct(F.when(text.rlike(r"[^\x00-\x7f]"), F.concat(words, grams)).otherwise(words))
 
 
@@ -105,12 +102,17 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text: str, on: list[str]) -
     """Rows of ``texts`` joined with the glossary entries whose term they contain.
 
     The term's first word (or first two characters) is an equi-join key, and ``on`` may name more; only
-    candidates are tested in full. So the work grows with hits, not with rows times terms.
+    candidates are tested in full. So the work grows with hits, not with rows times terms. With a glossary of
+    up to BROADCAST_TERMS entries, counted first, a text gives only keys that the glossary has; a larger
+    one is joined by shuffling all keys.
     """
     terms = glossary.withColumn("_term_key", term_key(F.col("term")))
-    small = glossary.count() <= BROADCAST_TERMS
-    keyed = texts.withColumn("_term_key", F.explode(text_keys(F.col(text))))
-    return keyed.join(F.broadcast(terms) if small else terms, [*on, "_term_key"]).where(
+    if glossary.count() <= BROADCAST_TERMS:
+        known = F.array(*[F.lit(r._term_key) for r in terms.select("_term_key").distinct().collect()]).cast("array<string>")
+        keys, terms = F.array_intersect(text_keys(F.col(text)), known), F.broadcast(terms)
+    else:
+        keys = text_keys(F.col(text))
+    return texts.withColumn("_term_key", F.explode(keys)).join(terms, [*on, "_term_key"]).where(
         contains_term(F.col(text), F.col("term"))
     ).drop("_term_key")
 
@@ -125,7 +127,7 @@ def domain_matches(text: Column, strong: tuple[str, ...] = STRONG_KEYWORDS, weak
 
 def domains(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, domain, matches): matches are the first twenty keywords, joined by commas."""
-    low = documents.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    low = spread(documents.select(key, text)).select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     found = low.select(key, domain_matches(F.col("_low")).alias("_m"))
     return found.select(
         key, F.aggregate("_m", F.lit(0), lambda a, m: a + m["weight"]).alias("score"),

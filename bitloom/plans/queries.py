@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
 from bitloom.operators import align, chunk, delta, glossary, mask, qa, repair, segment, similarity
-from bitloom.runtime import table
+from bitloom.runtime import spread, table
 from bitloom.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +88,8 @@ def domain_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "trans_unit").select(
+    units = table(spark, d, "trans_unit").select("unit_key", "source_lang", "target_lang", "source", "target")
+    return spread(units).select(
         "unit_key", "source_lang", "target_lang", F.coalesce("source", F.lit("")).alias("src"), F.coalesce("target", F.lit("")).alias("tgt")
     )
 
