@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.runtime import spread
+
 WORDS = 12
 CHARACTERS = 24
 BLOCK_CHARS = 4_000_000
@@ -148,7 +150,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 ]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "hits", "first_start", "first_end"])
 
-        out = out.unionByName(texts.mapInPandas(run, schema))
+        out = out.unionByName(spread(texts).mapInPandas(run, schema))
     return out
 
 

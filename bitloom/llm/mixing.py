@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.runtime import checkpoint
+from bitloom.runtime import checkpoint, spread
 
 #: Folder of the public vocabularies, and the one that sizes are measured with.
 TOKENIZERS = "/opt/tokenizers"
@@ -61,7 +61,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str
                 "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]],
             })
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
+    return spread(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, tokens long")
 
 
 def plan(sizes: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], total: float | None) -> dict[str, dict]:

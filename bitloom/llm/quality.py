@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.runtime import spread
+
 #: The list of common words is a parameter table; more than this many are refused, as they become one pattern.
 MAX_COMMON_WORDS = 5_000
 
@@ -133,7 +135,7 @@ def counts(documents: DataFrame, words: DataFrame) -> DataFrame:
             yield out.assign(doc_id=b["doc_id"])[["doc_id", *COUNTS]]
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return documents.select("doc_id", "text").mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, schema)
 
 
 def _share(part: str, whole: str) -> Column:
