@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as a character class body, to be used with the flag (?U).
 WS = r"\s\x1c-\x1f"
+#: The same characters one by one, for built-in trimming.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A token that stands for a protected region.
 TOKEN = r"\{\{PH_[A-Z_0-9]+\}\}"
 FENCE = "```"
@@ -21,7 +23,7 @@ def sub(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return sub(text, rf"(?U)\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def strip_bom(text: Column) -> Column:
@@ -30,12 +32,12 @@ def strip_bom(text: Column) -> Column:
 
 def newlines(text: Column) -> Column:
     """CRLF and CR become LF."""
-    return sub(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def normalize_segment(text: Column) -> Column:
     """LF line ends, runs of blanks and tabs as one blank, no white space at the ends."""
-    return strip(sub(newlines(text), r"[ \t]+", " "))
+    return strip(sub(newlines(text), r"[ \t]{2,}|\t", " "))
 
 
 def canonical(text: Column) -> Column:
@@ -86,15 +88,16 @@ def has_token(text: Column) -> Column:
     return text.rlike(TOKEN)
 
 
-def contains_term(text: Column, term: Column) -> Column:
+def contains_term(text: Column, term: Column, low: Column | None = None) -> Column:
     """A term with ASCII letters or digits must stand alone, in any case; any other must occur as it is.
 
     The first place where the term occurs is looked at without a pattern, as one made from a column is compiled
-    for every row; only if that place is inside a word, a pattern looks for others.
+    for every row; only if that place is inside a word, a pattern looks for others. ``low`` is the text in lower
+    case where a caller has it at hand.
     """
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     pattern = F.concat(F.lit("(?iu)(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
-    low, low_term = F.lower(text), F.lower(term)
+    low, low_term = F.lower(text) if low is None else low, F.lower(term)
     at = F.instr(low, low_term)
     around = F.concat(
         F.when(at > 1, F.substring(low, at - 1, F.lit(1))).otherwise(""), F.substring(low, at + F.length(low_term), F.lit(1))

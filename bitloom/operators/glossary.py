@@ -112,9 +112,10 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text: str, on: list[str]) -
         keys, terms = F.array_intersect(text_keys(F.col(text)), known), F.broadcast(terms)
     else:
         keys = text_keys(F.col(text))
-    return texts.withColumn("_term_key", F.explode(keys)).join(terms, [*on, "_term_key"]).where(
-        contains_term(F.col(text), F.col("term"))
-    ).drop("_term_key")
+    keyed = texts.withColumns({"_term_low": F.lower(F.col(text)), "_term_key": F.explode(keys)})
+    return keyed.join(terms, [*on, "_term_key"]).where(
+        contains_term(F.col(text), F.col("term"), F.col("_term_low"))
+    ).drop("_term_key", "_term_low")
 
 
 def domain_matches(text: Column, strong: tuple[str, ...] = STRONG_KEYWORDS, weak: tuple[str, ...] = WEAK_KEYWORDS) -> Column:

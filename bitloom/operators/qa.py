@@ -52,7 +52,8 @@ def pair_flags(pairs: DataFrame, keep: list[str]) -> DataFrame:
 def term_flags(pairs: DataFrame, glossary: DataFrame, keep: list[str], on: list[str] | None = None) -> DataFrame:
     """A flag for each glossary term in a source whose translation the target lacks; fenced sources aren't looked at."""
     normal = _normal(pairs).where((F.col("_s") != "") & (F.col("_t") != "") & ~F.startswith("_s", F.lit("```")))
-    hits = term_hits(normal, glossary, "_s", on or []).where(~contains_term(F.col("_t"), F.col("translation")))
+    low = normal.withColumn("_tlow", F.lower("_t"))
+    hits = term_hits(low, glossary, "_s", on or []).where(~contains_term(F.col("_t"), F.col("translation"), F.col("_tlow")))
     return hits.select(
         *keep, F.lit("term_inconsistency").alias("flag_type"), F.lit("warning").alias("severity"),
         F.concat(F.lit("expected terminology '"), "term", F.lit("' -> '"), "translation", F.lit("'")).alias("message"),
