@@ -38,7 +38,7 @@ def read_languages(spark: SparkSession, path: str) -> Languages:
         if "PATH_NOT_FOUND" in str(e):
             return Languages()
         raise
-    found = json.loads(row.value.lstrip("﻿")) if row else {}
+    found = json.loads(row.value.lstrip("\ufeff")) if row else {}
     return Languages(
         (found.get("source_language") or Languages.source).strip(), (found.get("target_language") or Languages.target).strip()
     )
@@ -57,7 +57,7 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             return empty
         raise
-    names = {c.lstrip("﻿"): c for c in raw.columns}
+    names = {c.lstrip("\ufeff"): c for c in raw.columns}
     source = [c for c in names if c.startswith("source_")][-1:]
     target = [c for c in names if c.startswith("target_")][-1:]
     if not source or not target or "stable_id" not in names:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bitloom.functions.text import escape_markup
 
 #: Characters that XML 1.0 cannot hold.
-_NOT_XML = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f￾￿]"
+_NOT_XML = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]"
 
 
 def _xml(text: Column) -> Column:
