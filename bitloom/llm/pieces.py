@@ -42,7 +42,10 @@ _BOUNDARIES = re.compile(
     r"|(?P<b1>\s+)"
 )
 #: A character that belongs to the grapheme cluster before it.
-_JOINED = re.compile("[̀-ͯ҃-҉֑-ֽً-ٟ᪰-᫿᷀-᷿‍⃐-⃿︀-️︠-︯\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]")
+_JOINED = re.compile(
+    "[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u200d\u20d0-\u20ff"
+    "\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]"
+)
 
 
 def boundaries(text: str) -> tuple[list[int], list[int]]:
@@ -58,7 +61,7 @@ def _whole(text: str, cut: int, low: int) -> int:
     """The last place from ``low`` to ``cut`` between two grapheme clusters, or ``cut`` if there is none."""
     at = cut
     while at > low and at < len(text) and (
-        _JOINED.match(text[at]) or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n" or _flag_half(text, at)
+        _JOINED.match(text[at]) or text[at - 1] == "\u200d" or text[at - 1 : at + 1] == "\r\n" or _flag_half(text, at)
     ):
         at -= 1
     return at if at > low else cut
