@@ -6,8 +6,8 @@ is that of its length ratio under a normal model, lowered by what the two sides
 and names, and words that translate each other. Sentences that the path leaves alone on both sides are then
 paired across it if they share enough, which covers reordering.
 
-Word translations come from the lexicon table and from counts over about ``FIT_ROWS`` rows (never
-over twice as many; chosen by the hash of the key); everything else looks at every cell.
+Word translations come from the lexicon table and from counts over all paired rows, by pair of languages. They are
+handed to every task up to a counted bound; beyond it each block is joined with those of its own words.
 
 A document is cut into blocks of ``BLOCK`` source cells, each with the target cells of a window around
 its place, so that no task holds more than a block. In longer documents the window follows the
@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.pairs import LENGTH, sentences, tag, width
-from bitloom.runtime import bounded_sample, checkpoint, semi_join_ids
+from bitloom.runtime import checkpoint, semi_join_ids, spread
 
 #: Source cells in a block, and target cells of the window before and behind it.
 BLOCK, HALO = 300, 120
-#: Bound of the sample on which word translations are fitted, in rows.
-FIT_ROWS = 12_000
+#: Pairs of words that a task looks at together, and different ones that it counts before it hands them on.
+MET_AT_ONCE, MET_HELD = 1_000_000, 400_000
+#: Length of the table of word counts (by the hash of the word) that tells which pairs can't reach LEAST_DICE.
+BUCKETS = 1 << 21
+#: Up to so many translations are handed to every task, after they were counted.
+BROADCAST_WORDS = 200_000
 #: Counts and association that make two words a translation.
 LEAST_COUNT, LEAST_DICE = 4, 0.12
 # Standard deviation of a length per character, and costs of the beads.
@@ -70,17 +75,164 @@ def names(text: str, lexicon: Lexicon, capitals: bool) -> set[str]:
     return {w for w in _NAME.findall(text) if "-" in w or capitals and w.lower() not in lexicon}
 
 
-def fit_lexicon(units: DataFrame, files: DataFrame, lexicon: DataFrame) -> Lexicon:
-    """word -> translation -> association, from a bounded sample of paired rows and the lexicon table."""
-    paired = files.where(F.col("layout") == "paired").select("file_id")
-    sample = semi_join_ids(
-        bounded_sample(units.select("unit_key", "file_id", "source", "target"), "unit_key", FIT_ROWS), paired, "file_id"
-    ).where(F.col("source").isNotNull() & F.col("target").isNotNull()).select("source", "target").collect()
-    entries = lexicon.where(F.col("word").isNotNull()).select("concept_id", "lang", "word").limit(100_000).collect()
-    return associations(((r.source, r.target) for r in sample), [(r.concept_id, r.lang, r.word) for r in entries])
+def weight(n, left, right, rows):
+    """Dice of what two words meet more often than by chance; words that most rows hold meet without being translations."""
+    return 2 * (n - left * right / rows) / (left + right)
+
+
+def _sides(b: pd.DataFrame) -> Iterator[tuple[str, list[set[str]]]]:
+    """(pair of languages, words of either side); both directions count together."""
+    for sl, tl, s, t in zip(b["sl"], b["tl"], b["source"], b["target"]):
+        (la, a), (lb, b) = sorted(((sl or "", s), (tl or "", t)), key=lambda x: x[0])
+        yield f"{la} {lb}", [{w for w in tokens(x) if not w[0].isdigit()} for x in (a, b)]
+
+
+def _alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pair, side, word, n): rows with the word, in parts, which add up; the empty word stands for all rows."""
+    for b in batches:
+        counts: dict[tuple[str, int], Counter] = {}
+        for pair, sides in _sides(b):
+            sides[0].add("")
+            for k, words in enumerate(sides):
+                counts.setdefault((pair, k), Counter()).update(words)
+        rows = [(*key, w, n) for key, c in counts.items() for w, n in c.items()]
+        yield pd.DataFrame(rows, columns=["pair", "side", "word", "n"])
+
+
+def _meeting(
+    least: np.ndarray, most: np.ndarray, at_once: int, held: int, batches: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """(pair, word, other, n): rows in which two words meet, in parts, which add up.
+
+    ``least`` and ``most`` bound the count of a word by its bucket; what they rule out can't reach LEAST_COUNT or LEAST_DICE.
+    """
+    ids: dict[tuple[str, int], dict[str, int]] = {}
+    low, high, parts, sides_of, room = [], [], [], ([], []), 0
+    ratio = LEAST_DICE / (2 - LEAST_DICE) * 0.999
+
+    def number(key: tuple[str, int], word: str) -> int:
+        bucket = zlib.crc32(f"{key[0]}\0{key[1]}\0{word}".encode()) % len(most)
+        if most[bucket] < LEAST_COUNT:
+            return -1
+        low.append(least[bucket])
+        high.append(most[bucket])
+        words.append((key[0], word))
+        return len(low) - 1
+
+    def numbers(key: tuple[str, int], side: set[str]) -> list[int]:
+        known = ids.setdefault(key, {})
+        for w in side:
+            if w not in known:
+                known[w] = number(key, w)
+        return [i for w in side if (i := known[w]) >= 0]
+
+    def add() -> None:
+        (a, b), (na, nb) = ([np.array([i for x in side for i in x], np.int64) for side in sides_of], [np.array([len(x) for x in side], np.int64) for side in sides_of])
+        lo, hi = np.array(low, np.float32), np.array(high, np.float32)
+        times = np.repeat(nb, na)  # of each word of one side, the words that it meets
+        first = np.repeat(np.cumsum(nb) - nb, na)
+        x = np.repeat(a, times)
+        y = b[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(len(x))]
+        keep = (hi[x] >= ratio * lo[y]) & (hi[y] >= ratio * lo[x])
+        met, n = np.unique((x[keep] << 32) | y[keep], return_counts=True)
+        if parts:
+            met, back = np.unique(np.concatenate([parts[0][0], met]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([parts[0][1], n]), len(met)).astype(np.int64)
+        parts[:] = [(met, n)]
+        for side in sides_of:
+            side.clear()
+
+    def counted() -> pd.DataFrame:
+        (met, n), x, y = parts[0], parts[0][0] >> 32, parts[0][0] & 0xFFFFFFFF
+        rows = [(*words[i], words[j][1]) for i, j in zip(x.tolist(), y.tolist())]
+        return pd.DataFrame(rows, columns=["pair", "word", "other"]).assign(n=n)
+
+    words: list[tuple] = []
+    for b in batches:
+        for pair, sides in _sides(b):
+            found = [numbers((pair, k), side) for k, side in enumerate(sides)]
+            room += len(found[0]) * len(found[1])
+            for k in (0, 1):
+                sides_of[k].append(found[k])
+            if room >= at_once:
+                add()
+                room = 0
+                if len(parts[0][0]) >= held:
+                    yield counted()
+                    for x in (ids, low, high, words, parts):
+                        x.clear()
+    if sides_of[0]:
+        add()
+    if parts:
+        yield counted()
+
+
+def _entry_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(c, lang, w) for c, lang, word in zip(b["concept_id"], b["lang"], b["word"]) for w in tokens(word)]
+        yield pd.DataFrame(rows, columns=["concept_id", "lang", "word"])
+
+
+def translations(units: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, other, weight), either way round: from all paired rows, and from the lexicon table."""
+    paired = files.where(F.col("layout") == "paired").select("file_id").distinct()
+    rows = semi_join_ids(units, paired, "file_id").where(F.col("source").isNotNull() & F.col("target").isNotNull()).select(
+        tag(F.col("source_lang")).alias("sl"), tag(F.col("target_lang")).alias("tl"), "source", "target"
+    )
+    rows = spread(rows)
+    alone = checkpoint(
+        rows.mapInPandas(_alone, "pair string, side int, word string, n long")
+        .groupBy("pair", "side", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_COUNT) | (F.col("word") == ""))
+    )
+    least, most = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    bucket = F.crc32(F.concat_ws("\0", "pair", F.col("side").cast("string"), "word").cast("binary")) % BUCKETS
+    bounds = alone.groupBy(bucket.alias("bucket")).agg(F.min("n").alias("least"), F.max("n").alias("most")).toArrow()
+    least[bounds["bucket"].to_numpy()], most[bounds["bucket"].to_numpy()] = bounds["least"].to_numpy(), bounds["most"].to_numpy()
+    shared = units.sparkSession.sparkContext.broadcast((least, most))
+    at_once, held = MET_AT_ONCE, MET_HELD
+    met = (
+        rows.mapInPandas(lambda batches: _meeting(*shared.value, at_once, held, batches), "pair string, word string, other string, n long")
+        .groupBy("pair", "word", "other").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_COUNT) & (F.col("word") != F.col("other")))
+    )
+    left = alone.where(F.col("side") == 0).select("pair", "word", F.col("n").alias("n_word"))
+    right = alone.where(F.col("side") == 1).select("pair", F.col("word").alias("other"), F.col("n").alias("n_other"))
+    every = alone.where(F.col("word") == "").select("pair", F.col("n").alias("n_rows"))
+    total = F.col("n_word") + F.col("n_other")
+    counted = (
+        met.join(left, ["pair", "word"]).join(right, ["pair", "other"]).join(every, "pair").where(2 * F.col("n") / total >= LEAST_DICE)
+        .select("word", "other", weight(F.col("n"), F.col("n_word"), F.col("n_other"), F.col("n_rows")).alias("weight"))
+        .withColumn("weight", F.greatest("weight", F.lit(0.0)))
+    )
+    entries = lexicon.where(F.col("word").isNotNull() & F.col("concept_id").isNotNull() & F.col("lang").isNotNull()).select(
+        F.col("concept_id").cast("long").alias("concept_id"), "lang", "word"
+    ).mapInPandas(_entry_tokens, "concept_id long, lang string, word string").distinct()
+    others = entries.select("concept_id", F.col("lang").alias("other_lang"), F.col("word").alias("other"))
+    listed = entries.join(others, "concept_id").where(F.col("lang") != F.col("other_lang")).select(
+        "word", "other", F.lit(0.9).alias("weight")
+    )
+    both = counted.unionByName(counted.select(F.col("other").alias("word"), F.col("word").alias("other"), "weight"))
+    return both.unionByName(listed).groupBy("word", "other").agg(F.max("weight").alias("weight"))
+
+
+def as_lexicon(words: Iterable, others: Iterable, weights: Iterable) -> Lexicon:
+    out: Lexicon = {}
+    for x, y, weight in zip(words, others, weights):
+        out.setdefault(x, {})[y] = weight
+    return out
+
+
+def _words(cells: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct words of the cells under each key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = {(*k, w) for *k, s, t in zip(*(b[c] for c in key), b["source"], b["target"]) for w in tokens(f"{s or ''} \n {t or ''}")}
+            yield pd.DataFrame(list(rows), columns=[*key, "word"])
+
+    return cells.select(*key, "source", "target").mapInPandas(run, "".join(f"{k} long, " for k in key) + "word string").distinct()
 
 
 def associations(pairs: Iterable[tuple[str, str]], entries: Iterable[tuple[int, str, str]] = ()) -> Lexicon:
+    """The same on one machine, for rows of one pair of languages."""
     rows = [tuple({w for w in tokens(x) if not w[0].isdigit()} for x in pair) for pair in pairs]
     left, right = Counter(w for a, _ in rows for w in a), Counter(w for _, b in rows for w in b)
     # rare words (mostly names) can't reach LEAST_COUNT
@@ -99,6 +251,7 @@ def associations(pairs: Iterable[tuple[str, str]], entries: Iterable[tuple[int,
     for code, n in zip(met[times >= LEAST_COUNT].tolist(), times[times >= LEAST_COUNT].tolist()):
         x, y = words_left[code // size], words_right[code % size]
         if x != y and (dice := 2 * n / (left[x] + right[y])) >= LEAST_DICE:
+            dice = max(0.0, weight(n, left[x], right[y], len(rows)))
             out.setdefault(x, {})[y] = dice
             out.setdefault(y, {}).setdefault(x, dice)
     concepts: dict[int, list[tuple[str, str]]] = {}
@@ -315,15 +468,30 @@ def blocks(cells: DataFrame) -> DataFrame:
 
 def links(units: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(file_id, source_seg_no, target_seg_no, sentences): cells that translate each other, with their linked sentences."""
-    known = fit_lexicon(units, files, lexicon)
+    cells = checkpoint(cells_of(units, files))  # read several times below, and a small part of the units
+    known = checkpoint(translations(units, files, lexicon).join(_words(cells, []), "word", "left_semi"))
+    return align_blocks(blocks(cells), known)
 
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], *x) for x in align_cells(cells, known)]
-        return pd.DataFrame(rows, columns=["file_id", "source_seg_no", "target_seg_no", "sentences"])
 
-    schema = "file_id long, source_seg_no int, target_seg_no int, sentences int"
-    cells = checkpoint(cells_of(units, files))  # read several times below, and a small part of the units
-    return blocks(cells).groupBy("file_id", "block").applyInPandas(run, schema)
+def align_blocks(parts: DataFrame, known: DataFrame) -> DataFrame:
+    schema, columns = "file_id long, source_seg_no int, target_seg_no int, sentences int", ["file_id", "source_seg_no", "target_seg_no", "sentences"]
+    if known.count() <= BROADCAST_WORDS:
+        table = known.select("word", "other", "weight").toArrow()
+        lexicon = as_lexicon(*(table[c].to_pylist() for c in ("word", "other", "weight")))
+
+        def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(key[0], *x) for x in align_cells(cells, lexicon)], columns=columns)
+
+        return parts.groupBy("file_id", "block").applyInPandas(run, schema)
+
+    def run_with(key: tuple, cells: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if cells.empty:
+            return pd.DataFrame([], columns=columns)
+        rows = align_cells(cells, as_lexicon(own["word"], own["other"], own["weight"]))
+        return pd.DataFrame([(key[0], *x) for x in rows], columns=columns)
+
+    own = _words(parts, ["file_id", "block"]).join(known, "word")
+    return parts.groupBy("file_id", "block").cogroup(own.groupBy("file_id", "block")).applyInPandas(run_with, schema)
 
 
 def found(units: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:

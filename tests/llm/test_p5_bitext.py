@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from bitloom.llm import bitext as B
@@ -79,3 +80,36 @@ def test_very_long_cell():
     text = "a b c. " * 3000
     block = pd.DataFrame([(1, True, text, None, "en", "de"), (1, False, None, "x y z.", "en", "de")], columns=["seg_no", "own", "source", "target", "sl", "tl"])
     assert B.align_cells(block, {}) == []
+
+
+def paired_units(spark, rows):
+    return spark.createDataFrame([(1, i, i, s, t, sl, tl) for i, (s, t, sl, tl) in enumerate(rows)], "file_id long, seg_no int, unit_key long, source string, target string, source_lang string, target_lang string")
+
+
+def test_translations_are_counted_over_all_rows_and_by_pair_of_languages(spark, monkeypatch):
+    for name in ("MET_AT_ONCE", "MET_HELD", "BUCKETS"):  # several parts, and words that share a bucket
+        monkeypatch.setattr(B, name, 500)
+    # a rare pair of languages among many rows of another one, in either direction, and rows of no paired file
+    many = [(s, t, "en-US", "de") for s, t in zip(*document(random.Random(4), 14_000))]
+    rare = [(f"The pump w{'abcdefgh'[i % 8]} works.", f"La bomba v{'abcdefgh'[i % 8]} marcha.", "EN", "es_ES") for i in range(20)]
+    rare += [(t, s, tl, sl) for s, t, sl, tl in rare[:20]]
+    units = paired_units(spark, many + rare + [(None, "x", "en", "de")])
+    other = paired_units(spark, [("alpha", "beta", "en", "de")] * 9).withColumn("file_id", F.lit(2).cast("long"))
+    files = spark.createDataFrame([(1, "paired"), (2, "raw_import")], "file_id long, layout string")
+    entries = spark.createDataFrame([(1, "en", "gear"), (1, "zh", "齿轮")], "concept_id int, lang string, word string")
+    got = {(r.word, r.other): r.weight for r in B.translations(units.unionByName(other), files, entries).collect()}
+    want = {}
+    for rows in ([(s, t) for s, t, *_ in many], [(s, t) if sl == "EN" else (t, s) for s, t, sl, _ in rare]):
+        for a, ys in B.associations(rows).items():
+            for b, weight in ys.items():
+                want[a, b] = max(weight, want.get((a, b), 0))
+    want |= {("gear", "齿轮"): 0.9, ("齿轮", "gear"): 0.9}
+    assert got == pytest.approx(want) and got["wa", "va"] == pytest.approx(0.85)
+
+
+def test_translations_joined_to_blocks_say_the_same(spark, monkeypatch):
+    s, t = document(random.Random(5), 60)
+    monkeypatch.setattr(B, "BLOCK", 25)
+    handed = run(spark, {1: cells(s, t), 2: cells(s, t[3:])})
+    monkeypatch.setattr(B, "BROADCAST_WORDS", 0)
+    assert run(spark, {1: cells(s, t), 2: cells(s, t[3:])}) == handed and len(handed) > 100
