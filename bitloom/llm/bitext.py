@@ -11,7 +11,8 @@ handed to every task up to a counted bound; beyond it each block is joined with
 
 A document is cut into blocks of ``BLOCK`` source cells, each with the target cells of a window around
 its place, so that no task holds more than a block. In longer documents the window follows the
-median drift of tokens that occur once on either side.
+drift of tokens that occur once on either side, from the nearest blocks that have such, and is as wide as the drift is spread,
+up to WIDEST. Sentences that no block links are then paired across blocks, by an equi-join on words that they share.
 
 Defined results: null, empty and blank cells have no sentences; of several rows with one file_id and seg_no
 that with the smallest unit_key counts; files without rows, or with one side empty, give no pairs.
@@ -27,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.pairs import LENGTH, sentences, tag, width
@@ -35,6 +36,8 @@ from bitloom.runtime import checkpoint, semi_join_ids, spread
 
 #: Source cells in a block, and target cells of the window before and behind it.
 BLOCK, HALO = 300, 120
+#: Cells by which the spread of the drift may widen a window to either side; what lies beyond is paired across blocks.
+WIDEST = 600
 #: Pairs of words that a task looks at together, and different ones that it counts before it hands them on.
 MET_AT_ONCE, MET_HELD = 1_000_000, 400_000
 #: Length of the table of word counts (by the hash of the word) that tells which pairs can't reach LEAST_DICE.
@@ -396,22 +399,27 @@ def _crossing(n: int, m: int, links: list[tuple], sim: list[list[float]]) -> lis
 
 def align_cells(cells: pd.DataFrame, lexicon: Lexicon) -> list[tuple[int, int, int]]:
     """(source seg_no, target seg_no, linked sentences) of one block; ``own`` marks the source cells of the block."""
+    links = Counter((a, b) for a, _, b, _ in align_sentences(cells, lexicon))
+    return [(int(a), int(b), k) for (a, b), k in links.items()]
+
+
+def align_sentences(cells: pd.DataFrame, lexicon: Lexicon) -> list[tuple[int, int, int, int]]:
+    """(source seg_no, its sentence, target seg_no, its sentence) of the links of one block."""
     cells = cells.sort_values("seg_no")
     source, target, s_seg, t_seg = [], [], [], []
     for seg, own, s, t in zip(cells["seg_no"], cells["own"], cells["source"], cells["target"]):
         if own and s:
             parts = [x.strip() for x in sentences(s)]
             source += parts
-            s_seg += [seg] * len(parts)
+            s_seg += [(seg, k) for k in range(len(parts))]
         if t:
             parts = [x.strip() for x in sentences(t)]
             target += parts
-            t_seg += [seg] * len(parts)
+            t_seg += [(seg, k) for k in range(len(parts))]
     sl, tl = cells["sl"].iloc[0], cells["tl"].iloc[0]
     ratio = LENGTH.get(tl, 1.0) / LENGTH.get(sl, 1.0)
     found = align(source, target, ratio, lexicon, (sl != "de", tl != "de"))
-    links = Counter((s_seg[a], t_seg[b]) for a, b, _ in found)
-    return [(int(a), int(b), k) for (a, b), k in links.items()]
+    return [(*s_seg[a], *t_seg[b]) for a, b, _ in found]
 
 
 def cells_of(units: DataFrame, files: DataFrame) -> DataFrame:
@@ -426,7 +434,7 @@ def cells_of(units: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def drift(cells: DataFrame) -> DataFrame:
-    """(file_id, block, shift): how far behind its source a target stands in each block of a long document."""
+    """(file_id, block, shift): how far behind its source a target stands in each block of a long document: low, median, high."""
     sizes = cells.groupBy("file_id").agg(F.max("seg_no").alias("last")).where(F.col("last") > BLOCK)
     long = cells.join(sizes.select("file_id"), "file_id", "left_semi")
 
@@ -439,7 +447,7 @@ def drift(cells: DataFrame) -> DataFrame:
 
     both = once("source").join(once("target"), ["file_id", "w"])
     return both.groupBy("file_id", F.floor((F.col("source") - 1) / BLOCK).alias("block")).agg(
-        F.percentile_approx(F.col("target") - F.col("source"), 0.5).alias("shift")
+        F.percentile_approx(F.col("target") - F.col("source"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 1000).alias("shift")
     )
 
 
@@ -451,9 +459,17 @@ def blocks(cells: DataFrame) -> DataFrame:
     # each block asks for the target cells of its window, which lie in few blocks
     asked = owned.select("file_id", F.col("block").alias("asking")).distinct().join(
         drift(cells).withColumnRenamed("block", "asking"), ["file_id", "asking"], "left"
-    ).withColumn("shift", F.coalesce("shift", F.lit(0)))
-    low = F.col("asking") * BLOCK + 1 + F.col("shift") - HALO
-    high = (F.col("asking") + 1) * BLOCK + F.col("shift") + HALO
+    )
+    along = Window.partitionBy("file_id").orderBy("asking")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    own, last, following = F.col("shift"), F.last("shift", True).over(before), F.first("shift", True).over(after)
+    asked = asked.select(
+        "file_id", "asking", F.coalesce(own[1], last[1], following[1], F.lit(0)).alias("shift"),
+        F.coalesce(F.least(own[0], last[1], following[1]), F.lit(0)).alias("least"),
+        F.coalesce(F.greatest(own[2], last[1], following[1]), F.lit(0)).alias("most"),
+    )
+    low = F.col("asking") * BLOCK + 1 + F.greatest(F.col("least"), F.col("shift") - WIDEST) - HALO
+    high = (F.col("asking") + 1) * BLOCK + F.least(F.col("most"), F.col("shift") + WIDEST) + HALO
     windows = asked.select("file_id", "asking", low.alias("low"), high.alias("high")).withColumn(
         "block", F.explode(F.sequence(F.floor((F.col("low") - 1) / BLOCK), F.floor((F.col("high") - 1) / BLOCK)))
     )
@@ -470,24 +486,94 @@ def links(units: DataFrame, files: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(file_id, source_seg_no, target_seg_no, sentences): cells that translate each other, with their linked sentences."""
     cells = checkpoint(cells_of(units, files))  # read several times below, and a small part of the units
     known = checkpoint(translations(units, files, lexicon).join(_words(cells, []), "word", "left_semi"))
-    return align_blocks(blocks(cells), known)
+    sizes = checkpoint(cells.groupBy("file_id").agg(F.max("seg_no").alias("last")).where(F.col("last") > BLOCK))
+    if sizes.isEmpty():
+        return align_blocks(blocks(cells), known)
+    linked = checkpoint(align_blocks(blocks(cells), known, True))
+    rest = across(cells.join(sizes, "file_id", "left_semi"), linked, known)
+    return linked.unionByName(rest).groupBy("file_id", "source_seg_no", "target_seg_no").agg(F.count(F.lit(1)).cast("int").alias("sentences"))
+
+
+def across(cells: DataFrame, linked: DataFrame, known: DataFrame) -> DataFrame:
+    """Links of sentences that no block has linked on either side, best first: those that share enough, wherever they stand.
+
+    Sides that share enough have a word in common, or two that translate each other, among the heaviest of one of them.
+    """
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [
+                (file, side, seg, k, tokens(x), sorted(names(x, {}, lang != "de")))
+                for file, seg, *both in zip(b["file_id"], b["seg_no"], b["source"], b["target"], b["sl"], b["tl"])
+                for side, text, lang in ((0, both[0], both[2]), (1, both[1], both[3])) for k, x in enumerate(sentences(text or ""))
+            ]
+            yield pd.DataFrame(rows, columns=["file_id", "side", "seg", "k", "words", "names"])
+
+    schema = "file_id long, side int, seg int, k int, words array<string>, names array<string>"
+    every = checkpoint(cells.mapInPandas(split, schema))
+    words = every.select("file_id", "side", "seg", "k", F.explode("words").alias("word")).groupBy("file_id", "side", "seg", "k", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df = words.groupBy("file_id", "word").agg(F.count(F.lit(1)).alias("df")).join(every.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), "file_id")
+    done = linked.select("file_id", F.lit(0).alias("side"), F.col("source_seg_no").alias("seg"), F.col("source_k").alias("k")).unionByName(
+        linked.select("file_id", F.lit(1).alias("side"), F.col("target_seg_no").alias("seg"), F.col("target_k").alias("k")))
+    key = ["file_id", "side", "seg", "k"]
+    whole, rising = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("w", "word")
+    left = checkpoint(
+        words.join(done, key, "left_anti").join(df, ["file_id", "word"])
+        .withColumn("w", F.col("tf") * F.log((F.col("n") + 1) / F.col("df")))
+        .withColumn("share", F.col("w") / F.greatest(F.sum("w").over(whole), F.lit(1e-9)))
+        .withColumn("heavy", F.sum("share").over(rising) >= CROSSING - 1e-9)
+        .select("file_id", "side", F.struct("seg", "k").alias("at"), "word", "share", "heavy")
+    )
+    a = left.where(F.col("side") == 0).select("file_id", F.col("at").alias("a"), F.col("word").alias("x"), F.col("share").alias("share_x"), F.col("heavy").alias("heavy_x"))
+    b = left.where(F.col("side") == 1).select("file_id", F.col("at").alias("b"), F.col("word").alias("y"), F.col("share").alias("share_y"), F.col("heavy").alias("heavy_y"))
+    same = a.withColumn("y", F.col("x")).withColumn("link", F.lit(1.0))
+    other = a.join(known.select(F.col("word").alias("x"), F.col("other").alias("y"), F.least(F.lit(1.0), 1.4 * F.col("weight")).alias("link")).where((F.col("link") > 0) & (F.col("x") != F.col("y"))), "x")
+    shared = same.unionByName(other).join(b, ["file_id", "y"])
+    pair = ["file_id", "a", "b"]
+    candidates = checkpoint(shared.where(F.col("heavy_x") | F.col("heavy_y")).select(*pair).distinct())
+    meets = checkpoint(shared.join(candidates, pair, "left_semi").select(*pair, "x", "y", "share_x", "share_y", "link"))
+    of_a, of_b = (
+        meets.groupBy(*pair, w).agg((F.max("link") * F.first(f"share_{w}")).alias("s")).groupBy(*pair).agg(F.sum("s").alias(f"of_{w}")) for w in "xy"
+    )
+    own = every.select("file_id", "side", F.struct("seg", "k").alias("at"), F.explode("names").alias("name")).withColumn("word", F.lower("name"))
+    own = own.where(F.col("name").contains("-")).unionByName(
+        own.where(~F.col("name").contains("-")).join(known.select("word").distinct(), "word", "left_anti").select(own.columns)
+    ).groupBy("file_id", "side", "at").agg(F.collect_set("name").alias("names"))
+    na, nb = (own.where(F.col("side") == i).select("file_id", F.col("at").alias(c), F.col("names").alias(f"names_{c}")) for i, c in enumerate("ab"))
+    differ = (F.size(F.array_except("names_a", "names_b")) > 0) & (F.size(F.array_except("names_b", "names_a")) > 0)
+    ranked = checkpoint(
+        of_a.join(of_b, pair).join(na, ["file_id", "a"], "left").join(nb, ["file_id", "b"], "left")
+        .withColumn("s", (F.col("of_x") + F.col("of_y")) / 2 - F.when(differ, CONFLICT).otherwise(0.0)).where(F.col("s") >= CROSSING)
+        .select(*pair, F.struct("s", (-F.abs(F.col("a.seg") - F.col("b.seg"))).alias("near"), "a", "b").alias("r"))
+    )
+    out = linked.limit(0)
+    while not ranked.isEmpty():  # each round takes the pairs that are the best of both their sentences
+        best = ranked.withColumns({f"best_{c}": F.max("r").over(Window.partitionBy("file_id", c)) for c in "ab"})
+        taken = checkpoint(best.where((F.col("r") == F.col("best_a")) & (F.col("r") == F.col("best_b"))).select(*pair))
+        out = out.unionByName(taken.select(
+            "file_id", F.col("a.seg").alias("source_seg_no"), F.col("a.k").alias("source_k"), F.col("b.seg").alias("target_seg_no"), F.col("b.k").alias("target_k")))
+        ranked = checkpoint(ranked.join(taken.select("file_id", "a"), ["file_id", "a"], "left_anti").join(taken.select("file_id", "b"), ["file_id", "b"], "left_anti"))
+    return out
 
 
-def align_blocks(parts: DataFrame, known: DataFrame) -> DataFrame:
-    schema, columns = "file_id long, source_seg_no int, target_seg_no int, sentences int", ["file_id", "source_seg_no", "target_seg_no", "sentences"]
+def align_blocks(parts: DataFrame, known: DataFrame, single: bool = False) -> DataFrame:
+    """The links of all blocks by cells, or by sentences (``single``)."""
+    schema, align_one = "file_id long, source_seg_no int, target_seg_no int, sentences int", align_cells
+    if single:
+        schema, align_one = "file_id long, source_seg_no int, source_k int, target_seg_no int, target_k int", align_sentences
+    columns = [x.split()[0] for x in schema.split(", ")]
     if known.count() <= BROADCAST_WORDS:
         table = known.select("word", "other", "weight").toArrow()
         lexicon = as_lexicon(*(table[c].to_pylist() for c in ("word", "other", "weight")))
 
         def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(key[0], *x) for x in align_cells(cells, lexicon)], columns=columns)
+            return pd.DataFrame([(key[0], *x) for x in align_one(cells, lexicon)], columns=columns)
 
         return parts.groupBy("file_id", "block").applyInPandas(run, schema)
 
     def run_with(key: tuple, cells: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if cells.empty:
             return pd.DataFrame([], columns=columns)
-        rows = align_cells(cells, as_lexicon(own["word"], own["other"], own["weight"]))
+        rows = align_one(cells, as_lexicon(own["word"], own["other"], own["weight"]))
         return pd.DataFrame([(key[0], *x) for x in rows], columns=columns)
 
     own = _words(parts, ["file_id", "block"]).join(known, "word")

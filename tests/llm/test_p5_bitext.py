@@ -113,3 +113,19 @@ def test_translations_joined_to_blocks_say_the_same(spark, monkeypatch):
     handed = run(spark, {1: cells(s, t), 2: cells(s, t[3:])})
     monkeypatch.setattr(B, "BROADCAST_WORDS", 0)
     assert run(spark, {1: cells(s, t), 2: cells(s, t[3:])}) == handed and len(handed) > 100
+
+
+def test_long_documents_out_of_reach_of_a_window(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 40)
+    monkeypatch.setattr(B, "HALO", 12)
+    monkeypatch.setattr(B, "WIDEST", 20)
+    s, t = document(random.Random(6), 200)
+    moved = t[:20] + t[60:180] + t[20:60] + t[180:]  # forty cells go 120 places further
+    place = {x: i + 1 for i, x in enumerate(moved)}
+    # a drift of sixty, told by numbers in the first half alone
+    later = [x if i < 100 else " ".join(w for w in x.split() if not any(c.isdigit() for c in w)) for i, x in enumerate(s)]
+    shifted = document(random.Random(7), 60)[1] + t
+    got = run(spark, {1: cells(s, moved), 2: cells(later, shifted)})
+    want = {(1, i + 1, place[x]) for i, x in enumerate(t)}
+    assert len(got & want) >= 0.97 * len(want) and len({g for g in got if g[0] == 1} - want) <= 0.03 * len(want)
+    assert len(got & {(2, i + 1, i + 61) for i in range(100)}) >= 93
