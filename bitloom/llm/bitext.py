@@ -341,16 +341,14 @@ def align(
         return LENGTH_WEIGHT * np.minimum((b - a) ** 2 / (SPREAD * np.maximum(2.0, a + b)), 12.0)
 
     one = (length(sw[:, None], tw[None, :]) + SHARED_WEIGHT * (1.0 - both.pairs)).tolist()
-    # a path that strays far from the diagonal skips so many sentences that it can't be the best
-    slack = abs(n - m) + max(12, (n + m) // 6)
     inf = math.inf
     best = [[inf] * (m + 1) for _ in range(n + 1)]
     back = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
     for i in range(n + 1):
-        row, up, up2, middle = best[i], best[i - 1], best[i - 2], i * m // n
+        row, up, up2 = best[i], best[i - 1], best[i - 2]
         steps, sims, before, ones = back[i], sim[i - 1], sim[i - 2], one[i - 1]
-        for j in range(max(0, middle - slack), min(m, middle + slack) + 1):
+        for j in range(m + 1):
             value, step = row[j], (0, 0)
             if i and up[j] + SKIP < value:
                 value, step = up[j] + SKIP, (1, 0)

@@ -129,3 +129,11 @@ def test_long_documents_out_of_reach_of_a_window(spark, monkeypatch):
     want = {(1, i + 1, place[x]) for i, x in enumerate(t)}
     assert len(got & want) >= 0.97 * len(want) and len({g for g in got if g[0] == 1} - want) <= 0.03 * len(want)
     assert len(got & {(2, i + 1, i + 61) for i in range(100)}) >= 93
+
+
+def test_paths_far_from_the_diagonal():
+    s, t = document(random.Random(8), 30)
+    target = t[14:20] + [t[20] + " " + t[21]] + t[22:] + document(random.Random(9), 15)[1]
+    got = {(a, b) for a, b, _ in B.align(s, target, 1.0, LEXICON)}
+    want = {(i, i - 14 - (i > 20)) for i in range(14, 30)}
+    assert got >= want
