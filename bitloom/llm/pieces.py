@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitloom.runtime import checkpoint
+from bitloom.runtime import checkpoint, join_nulls_equal
 
 DEFAULT_LIMIT = 5000
 #: Characters of a range; more where the limit is large.
@@ -129,19 +129,23 @@ def split_items(items: DataFrame, key: list[str], text: str, limit: Column, over
         "_overlap", F.least("_asked", F.col("_limit") - 1)
     ).withColumn("_size", F.greatest(F.lit(least), 8 * (F.col("_limit") + F.col("_overlap"))))
     halo = 2 * F.col("_limit") + F.col("_overlap") + CONTEXT
-    ranged = sized.withColumn("_last", F.expr("(length(_text) - 1) div _size")).withColumn(
-        "_range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
-    )
+    sized = sized.withColumn("_last", F.expr("(length(_text) - 1) div _size"))
+    # an item of several ranges is told by a number of its own, written so that it stays the same
+    giant = checkpoint(sized.where(F.col("_last") > 0).withColumn("_item", F.monotonically_increasing_id()))
     start = F.col("_range") * F.col("_size")
     low = F.greatest(F.lit(0), start - halo)
-    ranges = ranged.select(
-        *key, "_limit", "_overlap", "_range", "_last", (start - low).alias("_own"),
-        F.least(F.col("_size"), F.length("_text") - start).alias("_own_size"),
-        F.substring("_text", low + 1, start - low + F.col("_size") + CONTEXT).alias("_part"),
-    )
-    single = _emit(ranges.where(F.col("_last") == 0).withColumns({"_before": F.lit(0).cast("long"), "_pieces": F.lit(0).cast("long")}), key)
-    several = ranges.where(F.col("_last") > 0)
-    placed = several.join(stitch(_count(several, key), key), [*key, "_range"])
+
+    def ranges(df: DataFrame, *more: str) -> DataFrame:
+        return df.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).select(
+            *key, *more, "_limit", "_overlap", "_range", "_last", (start - low).alias("_own"),
+            F.least(F.col("_size"), F.length("_text") - start).alias("_own_size"),
+            F.substring("_text", low + 1, start - low + F.col("_size") + CONTEXT).alias("_part"),
+        )
+
+    alone = ranges(sized.where(F.col("_last") == 0))
+    single = _emit(alone.withColumns({"_before": F.lit(0).cast("long"), "_pieces": F.lit(0).cast("long")}), key)
+    several = ranges(giant, "_item")
+    placed = several.join(stitch(_count(several, ["_item"]), ["_item"]), ["_item", "_range"])
     return single.unionByName(_emit(placed, key))
 
 
@@ -273,7 +277,7 @@ def delivery(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     listed = manifests.select("manifest_id", F.explode("chunks").alias("chunk_path")).distinct()
     texts = chunks.select("chunk_path", "chunk_no", F.col("chunk_text").isNotNull().alias("has_text"))
     cut = pieces(manifests, chunks).groupBy("manifest_id", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
-    per_chunk = listed.join(texts, "chunk_path", "left").join(cut, ["manifest_id", "chunk_no"], "left")
+    per_chunk = join_nulls_equal(listed.join(texts, "chunk_path", "left"), cut, ["manifest_id", "chunk_no"], "left")
     return per_chunk.groupBy("manifest_id").agg(
         F.count(F.lit(1)).alias("listed"), F.count_if(F.col("has_text")).alias("delivered"),
         F.count("n").alias("oversized"), F.coalesce(F.sum("n"), F.lit(0)).alias("pieces"),

@@ -68,3 +68,19 @@ def test_manifests(spark):
     assert P.found(m.limit(0), c).count() == P.found(m, c.limit(0)).count() == 0
     twice = P.pieces(m, c.where("chunk_path = 'p1'").unionByName(c.where("chunk_path = 'p1'")))
     assert twice.count() == 4
+
+
+def test_giant_items_without_or_with_equal_keys(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(n)) for n in (1500, 1800, 1700)]
+    df = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[2])], "id int, t string")
+    got = sorted(map(tuple, P.split_items(df, ["id"], "t", F.lit(40), F.lit(5), 400).collect()), key=str)
+    want = []
+    for k, (i, text) in enumerate([(None, texts[0]), (1, texts[1]), (1, texts[2]), (1, texts[2])]):
+        rows = P.split_items(spark.createDataFrame([(k, text)], "id int, t string"), ["id"], "t", F.lit(40), F.lit(5), 400).collect()
+        check(rows, text, 40, 5)
+        want += [(i, *r[1:]) for r in rows]
+    assert got == sorted(want, key=str)
+    m = spark.createDataFrame([(1, 10, 0, ["p1"])], "manifest_id long, chunk_size int, chunk_overlap int, chunks array<string>")
+    c = spark.createDataFrame([("p1", 1, None, "x" * 11)], "chunk_path string, manifest_id long, chunk_no int, chunk_text string")
+    assert [(r.oversized, r.pieces) for r in P.delivery(m, c).collect()] == [(1, 2)]
