@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "p2_found": _over(pieces.found, "chunks_manifest", "chunk_file"),
         "p2_pieces": _over(pieces.pieces, "chunks_manifest", "chunk_file"),
         "p2_delivery": _over(pieces.delivery, "chunks_manifest", "chunk_file"),
+        "p2_tiling": _over(pieces.tiling, "chunks_manifest", "chunk_file"),
         "p3_found": _over(lookalike.found, "terminology"),
         "p4_found": _over(pairs.found, "trans_unit", "xliff_file"),
         "p4_defects": _over(pairs.defects, "trans_unit", "xliff_file"),
@@ -67,6 +68,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": """select manifest_id, chunk_no from chunk_file join chunks_manifest using (manifest_id)
 where length(chunk_text) > case when chunk_size >= 1 then chunk_size else 5000 end""",
+        "p2_tiling": """select manifest_id, chunk_no, any_value(length(chunk_text))::int as n_chars, true as within, true as overlapping, true as tiled,
+  true as verbatim from chunk_file join chunks_manifest using (manifest_id)
+where length(chunk_text) > case when chunk_size >= 1 then chunk_size else 5000 end group by manifest_id, chunk_no""",
         "p6_found": f"""with {_KEYED} select table_name, first_id, id as copy_id
 from (select *, min(id) over (partition by table_name, k) as first_id from keyed) where id <> first_id""",
         "p6_records": f"with {_KEYED} select table_name, min(id) as first_id, count(*) as copies, count(distinct raw) as forms from keyed group by table_name, k",

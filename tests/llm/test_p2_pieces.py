@@ -42,19 +42,64 @@ def test_files_by_byte_ranges(spark, tmp_path):
     check(rows, text, 50, 9)
 
 
-def test_ranges_do_not_change_the_pieces_much(spark):
-    text = "One sentence here. Another one there.\n\n" * 400
-    df = spark.createDataFrame([(1, text)], "id int, t string")
-    whole = P.split_items(df, ["id"], "t", F.lit(100), F.lit(0)).count()
-    assert whole <= P.split_items(df, ["id"], "t", F.lit(100), F.lit(0), 1000).count() <= whole + len(text) // 800 + 1
+def random_text(rng, n):
+    """With runs of white space, closing signs and marks that are longer than what a boundary depends on."""
+    runs = [" " * 200, "\n" * 90, "」" * 80, "\u0301" * 70, "🇩🇪" * 50, "a!\n" + " " * 200, "。" + "”" * 66]
+    return "".join(rng.choice(runs) if rng.random() < 0.02 else rng.choice(ALPHABET) for _ in range(n))
+
+
+def pieces_by_ranges(text, limit, overlap, least):
+    """The steps over ranges in plain Python."""
+    limit, overlap = P.sizes(limit, overlap)
+    if len(text) <= limit:
+        return []
+    room, at, strength, joined = limit - overlap, [], [], set()
+    for a in range(0, len(text), least):
+        low, end = max(0, a - max(P.CONTEXT, limit)), min(len(text), a + least)
+        part, own = text[low : end + P.AHEAD], a - low
+        x, s = P.boundaries(part, own, own + end - a)
+        joined |= {p + low for p in P.inside(part, own, own + end - a, x, room)}
+        kept = P.chooseable(x, s, room)
+        at += [x[i] + low for i in kept]
+        strength += [s[i] for i in kept]
+    spans = -(-len(text) // (P.SPAN * room))
+    return [c for k in range(spans) for c in P.span_cuts(k, len(text), limit, overlap, at, strength, joined)]
+
+
+def test_pieces_do_not_depend_on_ranges(monkeypatch):
+    monkeypatch.setattr(P, "SPAN", 8)
+    rng = random.Random(9)
+    for _ in range(400):
+        text = random_text(rng, rng.randrange(1, 400))
+        limit = rng.randrange(1, 60)
+        overlap = rng.randrange(0, limit)
+        whole = P.cut_text(text, limit, overlap)
+        done = 0
+        for i, (s, e) in enumerate(whole):
+            assert s == max(0, done - (overlap if i else 0)) and done < e <= s + limit
+            done = e
+        assert done == (len(text) if whole else 0)
+        for least in (rng.randrange(1, 80), 120, 1000):
+            assert pieces_by_ranges(text, limit, overlap, least) == whole
+
+
+def test_ranges_through_spark(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [random_text(rng, 500), "word " * 6 + "a!\n" + " " * 200 + "more words here. " * 20, "x" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = {(i, s, e - s) for i, t in enumerate(texts) for s, e in P.cut_text(t, 15, 4)}
+    for least in (7, 120, 100_000):
+        rows = P.split_items(df, ["id"], "t", F.lit(15), F.lit(4), least).collect()
+        assert {(r.id, r.start, r.length) for r in rows} == want
+        for i, t in enumerate(texts):
+            check([r for r in rows if r.id == i], t, 15, 4)
 
 
 def test_cuts_are_natural():
     text = "First one. Second one.\n\nNew paragraph follows here. Last words of it"
-    found = [text[a:b] for a, b in P.cuts(text, 0, len(text), 30, 0, True, True)]
-    assert found == ["First one. Second one.\n\n", "New paragraph follows here. ", "Last words of it"]
-    assert [z for _, z in P.cuts("a" * 9 + "é" + "a" * 9, 0, 20, 10, 0, True, True)][0] == 9
-    assert P._whole("🇩🇪🇫🇷", 3, 0) == 2
+    assert [text[a:b] for a, b in P.cut_text(text, 30, 0)] == ["First one. Second one.\n\n", "New paragraph follows here. ", "Last words of it"]
+    assert P.cut_text("a" * 9 + "e\u0301" + "a" * 9, 10, 0)[0] == (0, 9)
+    assert [b for _, b in P.cut_text("🇩🇪🇫🇷🇪🇸", 3, 0)] == [2, 4, 6]
 
 
 def test_manifests(spark):
