@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from bitloom.llm import quality as Q
@@ -6,11 +7,24 @@ COMMON = frozenset("the of and in is was to que el la der die das und von 的 
 PROSE = "The river of the valley was moved in 1850, and the people of the town remember it. "
 
 
+def counts(*texts):
+    found = Q.count(pa.array(texts, pa.string()), pa.array(sorted(COMMON)))
+    return [{c: int(found[c][i]) for c in Q.COUNTS} for i in range(len(texts))]
+
+
 def share(text):
-    c = dict(zip(Q.COUNTS, Q.count(text, COMMON)))
+    c = counts(text)[0]
     return c["running"] / c["line_chars"] if c["line_chars"] else 0.0
 
 
+def test_counts():
+    a, b, c, d = counts("foo-bar 12\n\n# x…  y_z...", None, "的水 Kito", "é\r\nß1\ra")
+    assert (a["n_words"], a["alphabetic"], a["n_lines"], a["signs"], a["ellipsis"], a["letters"]) == (5, 3, 2, 3, 1, 18)
+    assert set(b.values()) == {0}
+    assert (c["han"], c["units"], c["common"], c["n_words"], c["n_chars"]) == (2, 2, 1, 2, 7)
+    assert (d["n_lines"], d["n_words"], d["alphabetic"], d["n_chars"], d["line_chars"]) == (3, 3, 3, 6, 4)
+
+
 @pytest.mark.parametrize("text", [
     PROSE * 3, "== Notes ==\n" + PROSE * 2, "{{Infobox\n| name = X\n}}\n" + PROSE * 3, PROSE * 2 + "\n%%&&$$##", "* " + PROSE,
     "这条河的水在山谷的中央，有人在这里住了很久，是有名的地方。" * 2, "'''X''' — " + PROSE + "<ref>{{cite web|title=x}}</ref>",
