@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(residue.found, "trans_unit"),
         "p1_kinds": _over(residue.cases, "trans_unit"),
+        "p1_evidence": _over(residue.evidence_counts, "trans_unit"),
         "p2_found": _over(pieces.found, "chunks_manifest", "chunk_file"),
         "p2_pieces": _over(pieces.pieces, "chunks_manifest", "chunk_file"),
         "p2_delivery": _over(pieces.delivery, "chunks_manifest", "chunk_file"),

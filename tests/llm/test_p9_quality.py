@@ -22,7 +22,7 @@ def test_counts():
     assert (a["n_words"], a["alphabetic"], a["n_lines"], a["signs"], a["ellipsis"], a["letters"]) == (5, 3, 2, 3, 1, 18)
     assert set(b.values()) == {0}
     assert (c["han"], c["units"], c["common"], c["n_words"], c["n_chars"]) == (2, 2, 1, 2, 7)
-    assert (d["n_lines"], d["n_words"], d["alphabetic"], d["n_chars"], d["line_chars"]) == (3, 3, 3, 6, 4)
+    assert (d["n_lines"], d["n_words"], d["alphabetic"], d["n_chars"], d["line_chars"]) == (3, 3, 3, 7, 4)
 
 
 @pytest.mark.parametrize("text", [
