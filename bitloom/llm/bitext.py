@@ -2,8 +2,10 @@
 
 Length-based dynamic programming over the sentences of a document finds the optimal path of
 one-to-one, omission, insertion, merge (two to one) and split (one to two) beads. The cost of a bead
-is that of its length ratio under a normal model, lowered by what the two sides share: numbers, codes
-and names, and words that translate each other. Sentences that the path leaves alone on both sides are then
+is the negative logarithm of its length ratio's probability under a normal model (Gale and Church 1993), plus what the words say
+that have a known translation, and numbers, codes and names: their share without a counterpart on the other side, less that with one.
+Words without a known translation say nothing, so where none is known the lengths decide alone.
+All links of the path are kept but those that known words speak against. Sentences that the path leaves alone on both sides are then
 paired across it if they share enough, which covers reordering.
 
 Word translations come from the lexicon table and from counts over all paired rows, by pair of languages. They are
@@ -50,7 +52,11 @@ LEAST_COUNT, LEAST_DICE = 4, 0.12
 SPREAD = 6.8
 SKIP = 1.7
 JOIN = 0.6
-LENGTH_WEIGHT, SHARED_WEIGHT = 0.25, 4.4
+LENGTH_WEIGHT, SHARED_WEIGHT = 1.0, 4.4
+#: A length ratio's cost is bounded, as renderings may leave out asides.
+LONGEST = 3.0
+#: Share of a pair's words that must be known before they can speak against it.
+COVERED = 0.3
 #: What two sentences must share to be paired across the path, and at all.
 CROSSING, JOINED, LEAST = 0.36, 0.5, 0.36
 #: What names that differ on both sides take from it.
@@ -290,6 +296,13 @@ class Shared:
         self.in_t = np.stack([links[:, x > 0].max(axis=1, initial=0.0) for x in self.t], axis=1)
         self.in_s = np.stack([links[x > 0].max(axis=0, initial=0.0) for x in self.s], axis=1)
         self.s_total, self.t_total = np.maximum(self.s.sum(axis=1), 1e-9), np.maximum(self.t.sum(axis=1), 1e-9)
+        # tokens that would have a counterpart in a rendering: words with translations, and what stays as it is
+        self.s_known, self.t_known = (
+            np.array([w in lexicon or not w[0].isalpha() or "-" in w or w in other for w in words] or [False], dtype=float)
+            for words, other in ((vs, vt), (vt, vs))
+        )
+        self.s_covered, self.t_covered = self.s @ self.s_known / self.s_total, self.t @ self.t_known / self.t_total
+        self.covered = (self.s_covered[:, None] + self.t_covered[None, :]) / 2
         self.pairs = (
             (self.s @ self.in_t) / self.s_total[:, None] + ((self.t @ self.in_s) / self.t_total[:, None]).T
         ) / 2
@@ -314,8 +327,14 @@ class Shared:
                 out[k, words[w]] += math.log((n + 1) / df[w])
         return out, words
 
+    def against(self, a: list[int], b: list[int]) -> float:
+        """Of several sentences taken together: the share of known tokens less that of those with a counterpart."""
+        s, t = self.s[a].sum(axis=0), self.t[b].sum(axis=0)
+        covered = s @ self.s_known / max(s.sum(), 1e-9) + t @ self.t_known / max(t.sum(), 1e-9)
+        return float(covered) / 2 - self.of(a, b)
+
     def of(self, a: list[int], b: list[int]) -> float:
-        """The same for several sentences taken together."""
+        """What several sentences taken together share."""
         s, t = self.s[a].sum(axis=0), self.t[b].sum(axis=0)
         of_s = s @ self.in_t[:, b].max(axis=1) / max(s.sum(), 1e-9)
         of_t = t @ self.in_s[:, a].max(axis=1) / max(t.sum(), 1e-9)
@@ -338,16 +357,27 @@ def align(
     sw, tw = np.array([width(x) for x in source]) * ratio, np.array([width(x) for x in target])
 
     def length(a, b):
-        return LENGTH_WEIGHT * np.minimum((b - a) ** 2 / (SPREAD * np.maximum(2.0, a + b)), 12.0)
+        return np.minimum(LENGTH_WEIGHT * (b - a) ** 2 / (SPREAD * np.maximum(2.0, a + b)), LONGEST)
+
+    s_long, t_long = sw.tolist(), tw.tolist()
+    unknown = (both.covered < COVERED).tolist()
+
+    def merged(a, b):
+        """Cost of a bead of several sentences on one side."""
+        x, y = sum(s_long[i] for i in a), sum(t_long[j] for j in b)
+        cost = JOIN + min(LENGTH_WEIGHT * (y - x) ** 2 / (SPREAD * max(2.0, x + y)), LONGEST)
+        return cost if all(unknown[i][j] for i in a for j in b) else cost + SHARED_WEIGHT * both.against(a, b)
 
-    one = (length(sw[:, None], tw[None, :]) + SHARED_WEIGHT * (1.0 - both.pairs)).tolist()
+    one = (length(sw[:, None], tw[None, :]) + SHARED_WEIGHT * (both.covered - both.pairs)).tolist()
+    kept = ((both.pairs >= LEAST) | (both.covered < COVERED)).tolist()
+    joined = ((both.pairs >= JOINED) | (both.covered < COVERED)).tolist()
     inf = math.inf
     best = [[inf] * (m + 1) for _ in range(n + 1)]
     back = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
     for i in range(n + 1):
         row, up, up2 = best[i], best[i - 1], best[i - 2]
-        steps, sims, before, ones = back[i], sim[i - 1], sim[i - 2], one[i - 1]
+        steps, joins, before, ones = back[i], joined[i - 1], joined[i - 2], one[i - 1]
         for j in range(m + 1):
             value, step = row[j], (0, 0)
             if i and up[j] + SKIP < value:
@@ -358,16 +388,12 @@ def align(
                 if i:
                     if up[j - 1] + ones[j - 1] < value:
                         value, step = up[j - 1] + ones[j - 1], (1, 1)
-                    if i > 1 and up2[j - 1] + JOIN < value and before[j - 1] >= JOINED and sims[j - 1] >= JOINED:
-                        v = up2[j - 1] + JOIN + float(length(sw[i - 2] + sw[i - 1], tw[j - 1])) + SHARED_WEIGHT * (
-                            1.0 - both.of([i - 2, i - 1], [j - 1])
-                        )
+                    if i > 1 and up2[j - 1] + JOIN < value and before[j - 1] and joins[j - 1]:
+                        v = up2[j - 1] + merged([i - 2, i - 1], [j - 1])
                         if v < value:
                             value, step = v, (2, 1)
-                    if j > 1 and up[j - 2] + JOIN < value and sims[j - 2] >= JOINED and sims[j - 1] >= JOINED:
-                        v = up[j - 2] + JOIN + float(length(sw[i - 1], tw[j - 2] + tw[j - 1])) + SHARED_WEIGHT * (
-                            1.0 - both.of([i - 1], [j - 2, j - 1])
-                        )
+                    if j > 1 and up[j - 2] + JOIN < value and joins[j - 2] and joins[j - 1]:
+                        v = up[j - 2] + merged([i - 1], [j - 2, j - 1])
                         if v < value:
                             value, step = v, (1, 2)
             row[j] = value
@@ -376,7 +402,7 @@ def align(
     while i or j:
         a, b = back[i][j]
         if a and b:
-            links.extend((x, y, sim[x][y]) for x in range(i - a, i) for y in range(j - b, j) if sim[x][y] >= LEAST)
+            links.extend((x, y, sim[x][y]) for x in range(i - a, i) for y in range(j - b, j) if kept[x][y])
         i, j = i - a, j - b
     return links + _crossing(n, m, links, sim)
 
