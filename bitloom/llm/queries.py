@@ -117,8 +117,23 @@ shared as (select doc_id, n_chars, n_words, n_lines, common as n_common, {share(
 documents_measured as (select *, list_filter([{reasons}], lambda x: x is not null) as reasons from shared)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _passages_sql() -> str:
+    """The places of documents where a passage of an item stands: 12 words, or 24 letters of a Chinese item."""
     word = r"[\p{L}\p{N}]+"
+    grams = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' ')))"
+    runs = "unnest(list_transform(range(1, length(c) - 22), lambda i: substr(c, i, 24)))"
+    return f"""with words as (select doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{word}') as w from documents),
+items as (select item_id, item_lang like 'zh%' as zh, regexp_extract_all(replace(lower(item_text), 'ß', 'ss'), '{word}') as w from eval_items),
+grams as (select doc_id, {grams} as g from words),
+item_grams as (select distinct item_id, {grams} as g from items where not zh),
+letters as (select doc_id, array_to_string(w, '') as c from words where len(w) > 0),
+item_letters as (select item_id, array_to_string(w, '') as c from items where zh),
+runs as (select distinct item_id, {runs} as r from item_letters where length(c) >= 24),
+doc_runs as (select doc_id, {runs} as r from letters where length(c) >= 24),
+hits as (select doc_id, item_id from grams join item_grams using (g) union all select doc_id, item_id from doc_runs join runs using (r))"""
+
+
+def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": """select manifest_id, chunk_no from chunk_file join chunks_manifest using (manifest_id)
 where length(chunk_text) > case when chunk_size >= 1 then chunk_size else 5000 end""",
@@ -131,13 +146,6 @@ from (select *, min(id) over (partition by table_name, k) as first_id from keyed
         "p9_found": f"""{_documents_sql()} select doc_id from documents_measured
 where len(list_filter(reasons, lambda x: not list_contains([{', '.join(map(_quoted, quality.HINTS))}], x))) > 0""",
         "p9_statistics": f"{_documents_sql()} select * replace (array_to_string(reasons, ',') as reasons) from documents_measured",
-        "p7_found": f"""with words as (select doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{word}') as w from documents),
-items as (select item_id, item_lang like 'zh%' as zh, regexp_extract_all(replace(lower(item_text), 'ß', 'ss'), '{word}') as w from eval_items),
-grams as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from words),
-item_grams as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) as g from items where not zh),
-letters as (select doc_id, array_to_string(w, '') as c from words where len(w) > 0),
-item_letters as (select item_id, array_to_string(w, '') as c from items where zh),
-runs as (select item_id, unnest(list_transform(range(1, length(c) - 22), lambda i: substr(c, i, 24))) as r from item_letters where length(c) >= 24),
-doc_runs as (select doc_id, unnest(list_transform(range(1, length(c) - 22), lambda i: substr(c, i, 24))) as r from letters where length(c) >= 24)
-select distinct doc_id, item_id from grams join item_grams using (g) union select distinct doc_id, item_id from doc_runs join runs using (r)""",
+        "p7_found": f"{_passages_sql()} select distinct doc_id, item_id from hits",
+        "p7_items": f"{_passages_sql()} select item_id, count(distinct doc_id) as documents, count(*) as hits from hits group by item_id",
     }

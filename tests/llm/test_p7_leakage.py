@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 from bitloom.llm import leakage as L
 
@@ -68,6 +69,28 @@ def test_item_blocks(spark, monkeypatch):
     items = [(i, "en", " ".join(f"w{i}x{k}" for k in range(12))) for i in range(5)]
     docs = [(i, t) for i, _, t in items]
     df = frames(spark, docs, items)
-    assert len(L.item_blocks(df[1])) == 5
+    assert len(list(L.item_blocks(df[1]))) == 5
     assert sorted(map(tuple, L.found(*df).collect())) == [(i, i) for i in range(5)]
     assert L.found(df[0].limit(0), df[1]).count() == L.found(df[0], df[1].limit(0)).count() == 0
+
+
+def test_offsets_refer_to_the_original():
+    words = "uno dos tres cuatro cinco seis siete ocho nueve diez once café".split()
+    item = " ".join(words)
+    auto = L.automaton([(1, "es", item)])
+    for before in ("café " * 10, "한, Å! " * 3):
+        for form in ("NFC", "NFD"):
+            for other in ("NFC", "NFD"):
+                start, text = unicodedata.normalize(other, before), unicodedata.normalize(form, item)
+                whole = start + text + " y él"
+                assert L.scan(auto, whole) == {1: (1, len(start), len(start) + len(text))}, (start, text)
+
+
+def test_blocks_are_passed_on_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_CHARS", 3000)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    items = spark.createDataFrame([(i, "en", " ".join(words[i * 15 : i * 15 + 15])) for i in range(40)], "item_id long, item_lang string, item_text string")
+    blocks = L.item_blocks(items)
+    assert iter(blocks) is blocks and len(list(blocks)) > 3
+    docs = spark.createDataFrame([(7, " ".join(words[:30]) + " x " + " ".join(words[300:330]))], "doc_id long, text string")
+    assert {tuple(r) for r in L.found(docs, items).collect()} == {(7, 0), (7, 1), (7, 20), (7, 21)}

@@ -37,25 +37,37 @@ def test_capped_sources_are_reported(spark):
 
 def test_flight_keeps_the_totals():
     rng = random.Random(3)
-    rows = [(i, "s", rng.randrange(1, 1000), 0.37, 2) for i in range(4000)]
-    out = list(M.flight(iter(rows), 1, land=True))
-    assert sorted(r[0] for r in out) == list(range(4000)) and {r[3] for r in out} == {2}
-    tokens, number = sum(r[2] for r in out if r[4]), sum(r[4] for r in out)
-    assert abs(number - 0.37 * 4000) <= 1 and abs(tokens - 0.37 * sum(r[2] for r in rows)) <= 2000
-    assert sum(1 for r in M.flight(iter(rows), 1, land=False) if r[4] is None) <= 2
-    same = list(M.flight(iter([(i, "s", 5, 0.5, 0) for i in range(100)]), 1, True))
-    assert sum(r[4] for r in same) == 50
+    rows = [("s", 0, i, rng.randrange(1, 1000), 0.37) for i in range(4000)]
+    out = list(M.flight(iter(rows), 1, 0, land=True))
+    assert sorted(r[0] for r in out) == list(range(4000))
+    tokens, number = sum(r[2] for r in out if r[3]), sum(r[3] for r in out)
+    assert abs(number - 0.37 * 4000) <= 1 and abs(tokens - 0.37 * sum(r[3] for r in rows)) <= 2000
+    assert sum(1 for r in M.flight(iter(rows), 1, 0, land=False) if r[3] is None) <= 2
+    same = list(M.flight(iter([("s", 0, i, 5, 0.5) for i in range(100)]), 1, 0, True))
+    assert sum(r[3] for r in same) == 50
 
 
 def test_inclusion_is_even():
-    rows = [(i, "s", 10 + 7 * (i % 5), 0.3, 0) for i in range(40)]
+    rows = [("s", 0, i, 10 + 7 * (i % 5), 0.3) for i in range(40)]
     counts = [0] * 40
     for seed in range(600):
-        for r in M.flight(iter(rows), seed, True):
-            counts[r[0]] += r[4]
+        for r in M.flight(iter(rows), seed, 0, True):
+            counts[r[0]] += r[3]
     assert all(0.22 < c / 600 < 0.38 for c in counts)
 
 
+def test_selection_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 32)  # several levels of groups
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 3)], TARGETS)
+    docs = documents(spark)
+    got = [{(r.doc_id, r.copies) for r in M.selection(docs.repartition(n), targets).collect()} for n in (4, 9)]
+    assert got[0] == got[1] and len(got[0]) > 100
+    other = {(r.doc_id, r.copies) for r in M.selection(docs, targets, seed=2).collect()}
+    assert other != got[0]
+    for r in M.shares(docs, targets).collect():
+        assert abs(r.actual_share - r.target_share) < 0.02, r
+
+
 def test_edges(spark):
     docs, targets = documents(spark, 30), spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert M.selection(docs.limit(0), targets).count() == M.selection(docs, targets.limit(0)).count() == 0
