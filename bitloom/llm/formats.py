@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.runtime import hot_keys, salted_join
+from bitloom.runtime import checkpoint, hot_keys, salted_join
 
-#: White space (also no-break and ideographic) and punctuation; symbols such as currency signs count as text.
+#: White space (also no-break and ideographic), punctuation as Unicode has it, and all ASCII signs, which includes ``$ + < = > ^ ` | ~``:
+#: records are found that differ in those alone (measured on the given tables). Symbols beyond ASCII, such as the euro sign, count as text.
 IGNORED = r"[\p{IsWhite_Space}\p{IsPunctuation}\p{Punct}]+"
 
 
@@ -58,13 +59,16 @@ def members(rows: DataFrame, id_col: str, raw: list[str], keys: list[Column]) ->
     third of the table doesn't end in one task.
     """
     rows = rows.select(F.col(id_col), *raw)
-    survivors = collapse_raw(rows, id_col, raw)
-    keyed, names = group_canonical(survivors, keys)
-    records = keyed.groupBy(*names).agg(F.min("low_id").alias("first_id"), F.sum("n").alias("_copies")).where(
-        F.col("_copies") > 1
-    )
-    forms = keyed.join(records, names).select(*raw, "first_id")
-    hot = hot_keys(survivors, raw, "n", rows.count())
+    keyed, names = group_canonical(collapse_raw(rows, id_col, raw), keys)
+    survivors = checkpoint(keyed)  # read for the records and joined with them
+    total = rows.count()
+    records = survivors.groupBy(*names).agg(
+        F.min("low_id").alias("first_id"), F.sum("n").alias("_copies"), F.count(F.lit(1)).alias("_forms")
+    ).where(F.col("_copies") > 1)
+    # a record may have very many forms
+    varied = hot_keys(records, names, "_forms", total)
+    forms = salted_join(survivors, records.drop("_copies", "_forms"), names, "low_id", varied).select(*raw, "first_id")
+    hot = hot_keys(survivors, raw, "n", total)
     joined = salted_join(rows, forms, raw, id_col, hot)
     return joined.where(F.col(id_col) != F.col("first_id")).select("first_id", F.col(id_col).alias("copy_id"))
 

@@ -24,16 +24,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.runtime import hot_keys, salted_join
+from bitloom.runtime import checkpoint, hot_keys, salted_join
 
 # Letters that look like a Latin letter, per script, and the Latin letters they look like.
 LOOK_ALIKES = (
-    ("АВЕЅІЈКМНОРСТУХҺԌԚԜ", "ABESIJKMHOPCTYXhGQW"),
-    ("аеѕіјорсухһԁԛԝԍ", "aesijopcyxhdqwg"),
+    ("АВЕЅІЈКМНОРСТУХҮӀѴҺԌԚԜ", "ABESIJKMHOPCTYXYIVhGQW"),
+    ("аеѕіјорсухүѵӏһԁԛԝԍ", "aesijopcyxyvlhdqwg"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
     ("ονϲϳ", "ovcj"),
     ("ɑɡ", "ag"),
-    ("օԼՕՏ", "oLOS"),
+    ("օոսհցզԼՕՏՍ", "onuhgqLOSU"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
 )
 # Spaces that look like a space; characters that can't be seen; hyphens that look like "-".
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -49,8 +50,11 @@ SAME_LOOK_BLOCKS = ((0xFB00, 0xFB06), (0x2E80, 0x2FD5), (0xFB50, 0xFDFF), (0xFE7
 
 #: Combining marks and variation selectors, as a character class.
 _MARKS = "\\u0300-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe00-\\ufe0f\\ufe20-\\ufe2f" + UNSEEN
+#: Pictographs that a joiner or a variation selector turns into another picture: they look different with and without.
+_PICTURE = "[\u00a9\u00ae\u203c-\u3299\U0001f000-\U0001faff]"
+_PICTURES = f"{_PICTURE}[\ufe0e\ufe0f\u20e3\U0001f3fb-\U0001f3ff]+(?:\u200d{_PICTURE}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff]*)*|{_PICTURE}(?:\u200d{_PICTURE}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff]*)+"
 #: A grapheme cluster that isn't a lone ASCII character.
-_CLUSTER = re.compile(f"(?:[^\\x00-\\x7f]|[\\x00-\\x7f](?=[{_MARKS}]))[{_MARKS}]*")
+_CLUSTER = re.compile(f"(?P<picture>{_PICTURES})|(?:[^\\x00-\\x7f]|[\\x00-\\x7f](?=[{_MARKS}]))[{_MARKS}]*")
 
 
 class RuleConflict(ValueError):
@@ -91,6 +95,8 @@ class Transducer:
 
     def _memo(self, m: re.Match) -> str:
         key = m.group()
+        if m.lastgroup:
+            return key
         out = self.memo.get(key)
         if out is None:
             out = self.cluster(key)
@@ -152,14 +158,29 @@ def unify_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """Distinct (field, text) with row count ``n`` and ``form``, for the forms that two or more texts share."""
-    texts = rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("form", unify(F.col("text")))
+    """Distinct (field, text) with row count ``n``, smallest id and ``form``, for the forms that two or more texts share."""
+    texts = rows.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"), F.min("term_id").alias("low_id")).withColumn("form", unify(F.col("text")))
     shared = texts.groupBy("field", "form").agg(F.count(F.lit(1)).alias("_t"), F.sum("n").alias("n_class")).where(
         F.col("_t") > 1
     )
     return texts.join(shared.drop("_t"), ["field", "form"])
 
 
+def members(terminology: DataFrame) -> DataFrame:
+    """(field, term_id, class_id, links): each row whose text looks like another text, with the smallest term_id of its class and
+    the number of rows of the class whose texts differ from its own."""
+    rows = _rows(terminology)
+    cls = checkpoint(classes(rows))
+    first = cls.groupBy("field", "form").agg(F.min("low_id").alias("class_id"), F.count(F.lit(1)).alias("_texts"))
+    total = 2 * terminology.count()
+    varied = hot_keys(first, ["field", "form"], "_texts", total)
+    known = salted_join(cls, first.drop("_texts"), ["field", "form"], "text", varied).select(
+        "field", "text", "class_id", (F.col("n_class") - F.col("n")).alias("links")
+    )
+    hot = hot_keys(cls, ["field", "text"], "n", total)
+    return salted_join(rows, known, ["field", "text"], "term_id", hot).select("field", "term_id", "class_id", "links")
+
+
 def _rows(terminology: DataFrame) -> DataFrame:
     return terminology.select(
         F.col("term_id"),
@@ -177,11 +198,13 @@ def found(terminology: DataFrame) -> DataFrame:
     rows share one text, and rows of a hot text are salted.
     """
     rows = _rows(terminology)
-    cls = classes(rows)
-    hot = hot_keys(cls, ["field", "text"], "n", 2 * terminology.count())
+    cls = checkpoint(classes(rows))
+    total = 2 * terminology.count()
+    hot = hot_keys(cls, ["field", "text"], "n", total)
     texts = cls.select("field", "text", "form")
     other = texts.select("field", "form", F.col("text").alias("text_b"))
-    pairs = texts.join(other, ["field", "form"]).where(F.col("text") < F.col("text_b")).drop("form")
+    varied = hot_keys(cls.groupBy("field", "form").agg(F.count(F.lit(1)).alias("n")), ["field", "form"], "n", total)
+    pairs = salted_join(texts, other, ["field", "form"], "text", varied).where(F.col("text") < F.col("text_b")).drop("form")
     first = salted_join(rows, pairs, ["field", "text"], "term_id", hot).select(
         "field", F.col("term_id").alias("a"), F.col("text_b").alias("text")
     )

@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "p2_delivery": _over(pieces.delivery, "chunks_manifest", "chunk_file"),
         "p2_tiling": _over(pieces.tiling, "chunks_manifest", "chunk_file"),
         "p3_found": _over(lookalike.found, "terminology"),
+        "p3_classes": _over(lookalike.members, "terminology"),
         "p4_found": _over(pairs.found, "trans_unit", "xliff_file"),
         "p4_defects": _over(pairs.defects, "trans_unit", "xliff_file"),
         "p5_found": _over(bitext.found, "trans_unit", "xliff_file", "base_lexicon"),

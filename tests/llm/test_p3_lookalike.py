@@ -60,3 +60,20 @@ def test_pairs_against_brute_force(spark):
 def test_unify_columns(spark):
     df = spark.createDataFrame([("ａ", None)], "a string, b string")
     assert tuple(L.unify_columns(df, ["a", "b"]).first()) == ("ａ", None, "a", None)
+
+
+def test_pictures_with_joiners_and_selectors_stay():
+    t = L.transducer()
+    family, heart = "\U0001f468‍\U0001f469‍\U0001f467", "❤️"
+    assert t(family) == family != t("\U0001f468\U0001f469\U0001f467") and t(heart) == heart != t("❤")
+    assert t("a‍b️") == "ab" and t("ӏӀꓐ") == "lIB"
+
+
+def test_class_rows(spark):
+    rows = [(1, "ab", "x"), (2, "a​b", None), (3, "ab", "x"), (4, "аb", "y"), (5, "zz", "ｘ"), (6, "zz", "")]
+    df = spark.createDataFrame(rows, "term_id long, source string, target string")
+    got = sorted(map(tuple, L.members(df).collect()))
+    assert got == [("source", 1, 1, 2), ("source", 2, 1, 3), ("source", 3, 1, 2), ("source", 4, 1, 3), ("target", 1, 1, 1), ("target", 3, 1, 1), ("target", 5, 1, 2)]
+    pairs = L.found(df)
+    assert sum(r[3] for r in got) == 2 * pairs.count()
+    assert L.members(df.limit(0)).count() == 0
