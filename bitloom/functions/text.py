@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WS = r"\s\x1c-\x1f"
 #: The same characters one by one, for built-in trimming.
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-#: A token that stands for a protected region.
+# The token that stands for a protected region, and the mark of a code fence.
 TOKEN = r"\{\{PH_[A-Z_0-9]+\}\}"
 FENCE = "```"
 
@@ -180,14 +180,17 @@ def format_seconds(seconds: Column) -> Column:
 
 
 def progress_line(current: Column, total: Column, stage: Column, status: Column, detail: Column) -> Column:
+    """Null unless current is between 1 and total; the detail may be null or empty."""
     head = F.format_string("[PROGRESS] %d/%d %s | %s", current, total, stage, status)
-    return F.when(F.coalesce(detail, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(" | "), detail))
+    whole = F.when(F.coalesce(detail, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(" | "), detail))
+    return F.when((current >= 1) & (current <= total), whole)
 
 
 def eta_detail(elapsed: Column, expected: Column) -> Column:
+    """Null where elapsed is below 0 or expected isn't above 0."""
     percent = F.floor(F.least(F.lit(1.0), elapsed / expected) * 100)
-    return F.concat(
+    return F.when((elapsed >= 0) & (expected > 0), F.concat(
         F.lit("elapsed="), format_seconds(elapsed),
         F.lit(" eta="), format_seconds(F.greatest(F.lit(0), expected - elapsed)),
         F.lit(" progress="), percent.cast("string"), F.lit("%"),
-    )
+    ))

@@ -91,31 +91,37 @@ def term_key(term: Column) -> Column:
 
 
 def text_keys(text: Column) -> Column:
-    """The keys of all terms that a text can hold."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(_LATIN), F.lit(0)), lambda w: F.lower(w))
-    signs = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    grams = F.concat(signs, F.zip_with(signs, F.slice(signs, F.lit(2), F.greatest(F.size(signs), F.lit(1))), lambda a, b: F.concat(a, b)))
-    return F.array_distinct(F.when(text.rlike(r"[^\x00-\x7f]"), F.concat(words, grams)).otherwise(words))
+    """The keys of all terms that a text can hold: its words, and beyond ASCII its characters, single and in twos."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_LATIN), F.lit(0)))
+    # characters of the parts beyond ASCII only; a pair may begin or end with an ASCII one
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_distinct(F.concat(words, _grams(F.split(text, ""))))).otherwise(words)
+
+
+def _grams(signs: Column) -> Column:
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(signs)), lambda i: F.array(
+        F.element_at(signs, i), F.concat(F.element_at(signs, i), F.coalesce(F.get(signs, i), F.lit("")))
+    )))
+
+
+#: A glossary counts as small up to so many rows and characters, counted first; it is then handed to every task.
+BROADCAST_CHARS = 5_000_000
 
 
 def term_hits(texts: DataFrame, glossary: DataFrame, text: str, on: list[str]) -> DataFrame:
     """Rows of ``texts`` joined with the glossary entries whose term they contain.
 
     The term's first word (or first two characters) is an equi-join key, and ``on`` may name more; only
-    candidates are tested in full. So the work grows with hits, not with rows times terms. With a glossary of
-    up to BROADCAST_TERMS entries, counted first, a text gives only keys that the glossary has; a larger
-    one is joined by shuffling all keys.
+    candidates are tested in full. So the work grows with hits, not with rows times terms. The glossary is
+    broadcast if its counted size allows it, else both sides are shuffled by the keys.
     """
     terms = glossary.withColumn("_term_key", term_key(F.col("term")))
-    if glossary.count() <= BROADCAST_TERMS:
-        known = F.array(*[F.lit(r._term_key) for r in terms.select("_term_key").distinct().collect()]).cast("array<string>")
-        keys, terms = F.array_intersect(text_keys(F.col(text)), known), F.broadcast(terms)
-    else:
-        keys = text_keys(F.col(text))
-    keyed = texts.withColumns({"_term_low": F.lower(F.col(text)), "_term_key": F.explode(keys)})
-    return keyed.join(terms, [*on, "_term_key"]).where(
-        contains_term(F.col(text), F.col("term"), F.col("_term_low"))
-    ).drop("_term_key", "_term_low")
+    rows, chars = glossary.agg(F.count(F.lit(1)), F.sum(F.length("term") + F.length("translation"))).first()
+    if rows <= BROADCAST_TERMS and (chars or 0) <= BROADCAST_CHARS:
+        terms = F.broadcast(terms)
+    # the keys are a projection of their own, so that they are computed once for each text
+    keyed = texts.withColumn("_keys", text_keys(F.col(text)))
+    hits = keyed.withColumn("_term_key", F.explode("_keys")).drop("_keys").join(terms, [*on, "_term_key"])
+    return hits.where(contains_term(F.col(text), F.col("term"))).drop("_term_key")
 
 
 def domain_matches(text: Column, strong: tuple[str, ...] = STRONG_KEYWORDS, weak: tuple[str, ...] = WEAK_KEYWORDS) -> Column:

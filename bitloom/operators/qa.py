@@ -29,12 +29,12 @@ def _normal(pairs: DataFrame) -> DataFrame:
     })
 
 
-def pair_flags(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, flag_type, severity, message) for each rule that a pair breaks; terminology is in :func:`term_flags`."""
-    s, t = F.col("_s"), F.col("_t")
+def flags_of(s: Column, t: Column) -> Column:
+    """The rules that a pair breaks, as an array; the texts are in normal form. Terminology is in :func:`term_flags`."""
     both = (s != "") & (t != "")
     ratio = F.length(t) / F.length(s)
     shown = F.format_string("%.2f", ratio)
+    # Kinds, severities and messages of the rules.
     rules = F.array(
         _flag((s != "") & (t == ""), "missing_target", "error", "target segment is empty"),
         _flag(both & (s == t) & looks_translatable(s), "unchanged_text", "warning", "source and target are identical"),
@@ -45,8 +45,12 @@ def pair_flags(pairs: DataFrame, keep: list[str]) -> DataFrame:
               F.concat(F.lit("target/source length ratio is very large ("), shown, F.lit(")"))),
         _flag(fence_count(s) % 2 != fence_count(t) % 2, "code_fence_mismatch", "warning", "source/target code fence parity differs"),
     )
-    found = F.filter(rules, lambda x: x.isNotNull())
-    return _normal(pairs).select(*keep, F.explode(found).alias("_f")).select(*keep, "_f.*")
+    return F.filter(rules, lambda x: x.isNotNull())
+
+
+def pair_flags(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, flag_type, severity, message) for each rule that a pair breaks."""
+    return _normal(pairs).select(*keep, F.explode(flags_of(F.col("_s"), F.col("_t"))).alias("_f")).select(*keep, "_f.*")
 
 
 def term_flags(pairs: DataFrame, glossary: DataFrame, keep: list[str], on: list[str] | None = None) -> DataFrame:
@@ -60,19 +64,31 @@ def term_flags(pairs: DataFrame, glossary: DataFrame, keep: list[str], on: list[
     )
 
 
-def gate(flags: DataFrame, threshold: str) -> DataFrame:
-    """One row: highest severity found, and whether the gate fails at ``threshold`` (none never fails)."""
+def rank() -> Column:
+    """The rank of a flag's severity."""
+    return F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+
+
+def severity(worst: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in RANK]), worst.cast("int") + 1)
+
+
+def fails(worst: Column, threshold: str) -> Column:
+    """Whether a gate at a threshold fails; ``none`` never does."""
     if threshold not in RANK:
         raise ValueError(f"threshold is one of {', '.join(RANK)}")
-    rank = F.max(F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0))
-    return flags.agg(F.coalesce(rank, F.lit(0)).alias("max_rank")).select(
-        F.element_at(F.array(*[F.lit(x) for x in RANK]), F.col("max_rank") + 1).alias("max_severity"),
-        (F.lit(RANK[threshold] > 0) & (F.col("max_rank") >= RANK[threshold])).alias("failed"),
-    )
+    return F.lit(RANK[threshold] > 0) & (worst >= RANK[threshold])
+
+
+def gate(flags: DataFrame, threshold: str) -> DataFrame:
+    """One row: highest severity found, and whether the gate fails at ``threshold`` (none never fails)."""
+    worst = F.col("max_rank")
+    return flags.agg(F.coalesce(F.max(rank()), F.lit(0)).alias("max_rank")).select(severity(worst).alias("max_severity"), fails(worst, threshold).alias("failed"))
 
 
 def syntax_errors(text: Column) -> Column:
     """Messages on what is wrong with the Markdown of a text, at most four."""
+    # The messages.
     tokens = leftover_tokens(text)
     return F.filter(F.array(
         F.when(fence_count(text) % 2 != 0, F.lit("Unclosed code fence detected.")),

@@ -23,10 +23,13 @@ class Export:
 
 def export(
     source: DataFrame, target: DataFrame, baseline: DataFrame | None = None, glossary: DataFrame | None = None,
-    only_changed: bool = False, key: str = "doc_id", text: str = "text",
+    only_changed: bool = False, threshold: str = "none", key: str = "doc_id", text: str = "text",
 ) -> Export:
     """From two tables of documents (key, text) to everything that an export writes.
 
+    The summary has for each document its figures, its worst severity, and the exit code of the gate: 2 from ``threshold`` on, else 0.
+    ``changed_pairs`` counts all pairs, ``pairs`` those that are exported.
+
     Pairs are read by every output, so they are written once to the shared folder.
     """
     s, t = segments(source, key, text), segments(target, key, text)
@@ -43,12 +46,16 @@ def export(
         flags = flags.unionByName(qa.term_flags(chosen, glossary, keep))
     counted = pairs.groupBy(key).agg(
         F.count_if(F.col("src") != "").alias("source_segments"), F.count_if(F.col("tgt") != "").alias("target_segments"),
-        F.count_if(F.col("change_type") != "unchanged").alias("changed_pairs"),
+        F.count_if(F.col("change_type") != "unchanged").alias("changed_pairs"), F.count(F.lit(1)).alias("stable_ids"),
     )
     parts = [
         chosen.groupBy(key).agg(F.count(F.lit(1)).alias("pairs")), gone.groupBy(key).agg(F.count(F.lit(1)).alias("removed_pairs")),
-        flags.groupBy(key).agg(F.count(F.lit(1)).alias("qa_flags")),
+        flags.groupBy(key).agg(F.count(F.lit(1)).alias("qa_flags"), F.max(qa.rank()).alias("_rank")),
     ]
     for p in parts:
         counted = counted.join(p, key, "full_outer")
-    return Export(pairs, chosen, gone, flags, counted.na.fill(0))
+    summary = counted.na.fill(0).withColumns({
+        "incremental": F.lit(only_changed and baseline is not None), "glossary_terms": F.lit(glossary.count() if glossary is not None else 0).cast("long"),
+        "max_severity": qa.severity(F.col("_rank")), "fail_on_severity": F.lit(threshold), "exit_code": F.when(qa.fails(F.col("_rank"), threshold), 2).otherwise(0),
+    }).drop("_rank")
+    return Export(pairs, chosen, gone, flags, summary)

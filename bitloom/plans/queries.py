@@ -1,23 +1,27 @@
 """The queries of the core operators over the tables of a data folder, and their SQL.
 
-Every query reads its whole tables. Two versions of the translation units come from their load times: what
-was loaded before ``VERSION`` is the earlier one.
+Every query reads its whole tables. Where the tables lack a shape that an operator handles, its input is derived from all of
+their rows by an expression that the SQL shares: chunk texts are dressed with Markdown of every kind, targets get fences and
+lengths, and the earlier version of the translation units follows from their change types.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as X
 from bitloom.operators import align, chunk, delta, glossary, mask, qa, repair, segment, similarity
-from bitloom.runtime import spread, table
+from bitloom.plans import selection
+from bitloom.plans.export import export
+from bitloom.runtime import checkpoint, ensure_checkpoint_dir, spread, table
 from bitloom.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
-VERSION = "2024-07-01"
 
 
 def _cells(spark: SparkSession, d: str, column: str) -> DataFrame:
@@ -38,12 +42,18 @@ def align_mismatches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _version(spark: SparkSession, d: str, current: bool) -> DataFrame:
-    cond = F.col("loaded_at") >= F.lit(VERSION).cast("timestamp_ntz")
-    rows = table(spark, d, "trans_unit").where(cond if current else ~cond).select(
-        F.col("file_id").alias("doc_id"), "unit_id", "unit_key", "project",
+    """The units with a target, and an earlier state of all units: without the new ones, updated ones with another target, others with other line ends."""
+    rows = table(spark, d, "trans_unit").select(
+        F.col("file_id").alias("doc_id"), "unit_id", "unit_key", "project", F.coalesce("change_type", F.lit("")).alias("ct"),
         F.coalesce("source", F.lit("")).alias("src"), F.coalesce("target", F.lit("")).alias("tgt"),
     )
-    return delta.last_per_id(rows, ["doc_id", "unit_id"], "unit_key")
+    if current:
+        rows = rows.where(X.strip(F.col("tgt")) != "")
+    else:
+        rows = rows.where(F.col("ct") != "new").withColumn(
+            "tgt", F.concat("tgt", F.when(F.col("ct") == "updated", " (earlier)").otherwise("\r\n"))
+        )
+    return delta.last_per_id(rows.drop("ct"), ["doc_id", "unit_id"], "unit_key")
 
 
 def change_types(spark: SparkSession, d: str) -> DataFrame:
@@ -53,16 +63,32 @@ def change_types(spark: SparkSession, d: str) -> DataFrame:
 def changed_only(spark: SparkSession, d: str) -> DataFrame:
     rows = delta.classify(_version(spark, d, True), _version(spark, d, False))
     return delta.select_records(rows, True, True).groupBy("project").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("change_type") == "updated").alias("updated")
+        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("change_type") == "updated").alias("updated"), F.count_if(F.col("change_type") == "new").alias("added")
     )
 
 
 def removed_units(spark: SparkSession, d: str) -> DataFrame:
-    return delta.removed(_version(spark, d, True), _version(spark, d, False)).select("doc_id", "unit_id", "src", "tgt")
+    return delta.removed(_version(spark, d, True), _version(spark, d, False)).select("doc_id", "unit_id", "src", "tgt", "change_type")
+
+
+def removed_map(spark: SparkSession, d: str) -> DataFrame:
+    """The removed units written as a map and read again: place in the file, id and text."""
+    gone = delta.removed(_version(spark, d, True), _version(spark, d, False)).withColumn("unit_id", F.concat_ws("/", "doc_id", "unit_id"))
+    path = f"{ensure_checkpoint_dir(spark)}/removed_map-{uuid.uuid4().hex}"
+    writers.write_removed(gone, True, path, "en", "xx")
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select(
+        "stable_id", F.coalesce("source_en", F.lit("")).alias("source_en"), "change_type", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")
+    )
+    # whether each row comes after all before it, in the order of the parts
+    before = F.max("stable_id").over(Window.orderBy("_file", "_row").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("sorted", F.coalesce(before <= F.col("stable_id"), F.lit(True))).drop("_file", "_row")
 
 
 def _terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    terms = table(spark, d, "terminology").withColumn("domain", F.lower(X.strip(F.col("domain"))))
+    """The terms, those without a date with a blank target, and their directed entries."""
+    terms = table(spark, d, "terminology").withColumns({
+        "domain": F.lower(X.strip(F.col("domain"))), "target": F.when(F.col("updated_at").isNull(), " ").otherwise(F.col("target")),
+    })
     return terms, glossary.directed(terms, X.reversed_direction(F.col("source_lang"), F.col("target_lang")), "term_id", ["domain"])
 
 
@@ -94,8 +120,37 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def glossary_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The glossary that each document takes, by the domain of its text."""
+    terms = _terms(spark, d)[0].withColumn("domain", F.when(F.col("domain") != "", F.col("domain")))
+    summaries = glossary.summary(terms, X.reversed_direction(F.col("source_lang"), F.col("target_lang")), "term_id", ["domain"])
+    return selection.select_for_documents(table(spark, d, "documents"), summaries)
+
+
+def export_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The export of every chunk against an earlier one, incremental, with a glossary: a row of figures for each."""
+    t = F.col("text")
+    docs = _markdown(spark, d).withColumnRenamed("chunk_path", "doc_id")
+    target = docs.withColumn("text", F.replace(F.replace(t, F.lit("1. third"), F.lit("1. dritte")), F.lit("| a | b |\n"), F.lit("")))
+    old_source = docs.withColumn("text", F.concat(F.replace(t, F.lit("- first"), F.lit("- former")), F.lit("\n```\n\nGone")))
+    old_target = docs.withColumn("text", F.replace(t, F.lit("1. third"), F.lit("1. dritter")))
+    earlier = checkpoint(align.with_unit_ids(align.align(*(segment.segments(x) for x in (old_source, old_target)))))
+    terms = spark.createDataFrame([("third", "dritter"), ("Part", "Part"), ("", "x")], "term string, translation string").where("term <> ''")
+    return export(docs, target, earlier, terms, only_changed=True, threshold="error").summary
+
+
+def _flag_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with targets of other lengths and with fences, by their place in the file."""
+    place, t = F.col("seg_no") % 10, F.coalesce("target", F.lit(""))
+    return table(spark, d, "trans_unit").select(
+        "unit_key", "project", F.coalesce("change_type", F.lit("")).alias("change_type"), F.coalesce("source", F.lit("")).alias("src"),
+        F.when(place == 7, F.repeat(F.concat(t, F.lit(" ")), F.lit(7))).when(place == 3, F.concat(F.lit("```\n"), t)).otherwise(t).alias("tgt"),
+    )
+
+
 def qa_flags(spark: SparkSession, d: str) -> DataFrame:
-    return qa.pair_flags(_pairs(spark, d), ["unit_key"]).drop("message")
+    # the message of a length shows a rounded ratio, which engines round otherwise
+    return qa.pair_flags(_flag_pairs(spark, d), ["unit_key"]).withColumn("message", F.split_part("message", F.lit(" ("), F.lit(1)))
 
 
 def _lexicon_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -116,11 +171,26 @@ def qa_term_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_gate(spark: SparkSession, d: str) -> DataFrame:
-    return qa.gate(qa.pair_flags(_pairs(spark, d), ["unit_key"]), "error")
+    """The gate at each threshold."""
+    flags = qa.pair_flags(_flag_pairs(spark, d), ["unit_key"]).select("severity")
+    mild = flags.where("severity = 'warning'")
+    gates = [qa.gate(f, t).withColumn("threshold", F.lit(f"{name} {t}")) for name, f in (("all", flags), ("mild", mild), ("none", mild.limit(0))) for t in qa.RANK]
+    return functools.reduce(DataFrame.unionByName, gates)
+
+
+# Markdown around the text of a chunk: of every kind, sound and broken.
+_BEFORE = "## Part\n- first **bold ** and ** more**\n-second\n1. third\n| a | b |\n\n"
+_AFTER = "\n\n## Notes\nInline `a<b` in <div class=\"k\">`deep` text</div>, $x+y$ and $$z = 1$$, <br/> <SPAN>s</SPAN>\n[label] (target)  {{PH_MATH_BLOCK_300}}  end\n"
+_ENDS = ("```py\nx = 1", "odd ` tick, {{PH_HTML_900}} and {{PH_CODE_BLOCK_100}}", "a [broken](link and ](more", "  ```sh  \nls\n```\n")
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunk_file").select("chunk_path", F.coalesce("chunk_text", F.lit("")).alias("text"))
+    end = F.lit(_ENDS[3])
+    for k in range(3):
+        end = F.when(F.col("chunk_no") % 4 == k, _ENDS[k]).otherwise(end)
+    return table(spark, d, "chunk_file").select(
+        "chunk_path", F.concat(F.lit(_BEFORE), F.coalesce("chunk_text", F.lit("")), F.lit(_AFTER), end).alias("text")
+    )
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -138,10 +208,9 @@ def mask_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask_restore(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that don't come back as they were after masking and restoring; there should be none."""
-    texts = _markdown(spark, d)
-    done = texts.select("chunk_path", "text", mask.protect(F.col("text")).alias("p"))
-    return done.where(mask.restore(F.col("p.masked"), F.col("p.regions"), "reverse") != F.col("text")).select("chunk_path")
+    """Chunks after masking and restoring, in order of creation and in reverse."""
+    done = _markdown(spark, d).select("chunk_path", mask.protect(F.col("text")).alias("p"))
+    return done.select("chunk_path", *[mask.restore(F.col("p.masked"), F.col("p.regions"), order).alias(order) for order in ("creation", "reverse")])
 
 
 def repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +247,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.manifest(_markdown(spark, d), 800, "chunk_path").select("chunk_path", "chunk_size", "chunk_count")
+    return chunk.manifest(_markdown(spark, d), 800, "chunk_path").withColumn("chunks", F.array_join("chunks", ","))
 
 
 def delivered_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -188,11 +257,18 @@ def delivered_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diff_rates(spark: SparkSession, d: str) -> DataFrame:
-    """How much the last load of a unit differs from its first, of units that were loaded again."""
-    loads = table(spark, d, "trans_unit").groupBy("file_id", "unit_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("target", "unit_key").alias("first"), F.max_by("target", "unit_key").alias("last")
-    ).where("n > 1")
-    return similarity.quality_gate(similarity.diff_rates(loads, "first", "last", ["file_id", "unit_id"]))
+    """How much each target differs from its source."""
+    units = table(spark, d, "trans_unit").select("unit_key", "source", "target")
+    return similarity.quality_gate(similarity.diff_rates(spread(units), "source", "target", ["unit_key"]))
+
+
+def long_diff_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The same for texts over the bound of the exact distance: each revision against its parent."""
+    docs = table(spark, d, "documents")
+    old = docs.groupBy("rev_id").agg(F.min_by("text", "doc_id").alias("before"))
+    both = docs.select("doc_id", "text", F.col("parent_rev_id").alias("rev_id")).join(old, "rev_id")
+    long = both.where(F.greatest(F.length("text"), F.length("before")) > similarity.EXACT_CHARS)
+    return similarity.quality_gate(similarity.diff_rates(long, "before", "text", ["doc_id"]))
 
 
 def normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -227,20 +303,19 @@ def progress_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_summary(spark: SparkSession, d: str) -> DataFrame:
-    flags = qa.pair_flags(_pairs(spark, d), ["unit_key"]).groupBy("unit_key").agg(F.count(F.lit(1)).alias("n"))
-    units = table(spark, d, "trans_unit").select("unit_key", "project", "change_type")
-    return units.join(flags, "unit_key", "left").groupBy("project").agg(
-        F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("qa_flags"),
-        F.count_if(F.coalesce("change_type", F.lit("")) != "unchanged").alias("changed_pairs"),
+    s, t = (X.normalize_segment(F.col(c)) for c in ("src", "tgt"))
+    counted = _flag_pairs(spark, d).select("project", "change_type", F.size(qa.flags_of(s, t)).alias("n"))
+    return counted.groupBy("project").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("qa_flags"), F.count_if(F.col("change_type") != "unchanged").alias("changed_pairs"),
     )
 
 
 def queries() -> dict[str, Query]:
     found = (
-        align_units, align_mismatches, change_types, changed_only, removed_units, glossary_build, glossary_collisions,
-        glossary_examples, glossary_summary, domain_scores, qa_flags, qa_term_flags, qa_gate, segments, mask_regions, mask_restore,
-        repaired, syntax_errors, length_profile, line_kinds, chunks, chunk_manifest, delivered_chunks, diff_rates, normalized,
-        xliff_documents, tmx_documents, directions, progress_lines, project_summary,
+        align_units, align_mismatches, change_types, changed_only, removed_units, removed_map, glossary_build, glossary_collisions,
+        glossary_examples, glossary_summary, glossary_selection, domain_scores, qa_flags, qa_term_flags, qa_gate, segments, mask_regions, mask_restore,
+        repaired, syntax_errors, length_profile, line_kinds, chunks, chunk_manifest, delivered_chunks, diff_rates, long_diff_rates, normalized,
+        xliff_documents, tmx_documents, directions, progress_lines, project_summary, export_summary,
     )
     return {f.__name__: f for f in found}
 
@@ -286,13 +361,41 @@ units as (select doc_id, seg_no, src, tgt, 'seg-' || base || case when n > 1 the
   from (select *, row_number() over (partition by doc_id, base order by seg_no) as n from based))"""
 
 _VERSIONS = f"""
-cur as (select file_id as doc_id, unit_id, unit_key, project, coalesce(source, '') as src, coalesce(target, '') as tgt from trans_unit
-  where loaded_at >= timestamp '{VERSION}' qualify row_number() over (partition by file_id, unit_id order by unit_key desc) = 1),
-old as (select file_id as doc_id, unit_id, coalesce(source, '') as src, coalesce(target, '') as tgt from trans_unit
-  where loaded_at < timestamp '{VERSION}' qualify row_number() over (partition by file_id, unit_id order by unit_key desc) = 1),
+cur as (select file_id as doc_id, unit_id, unit_key, project, coalesce(source, '') as src, target as tgt from trans_unit
+  where {_strip("coalesce(target, '')")} <> '' qualify row_number() over (partition by file_id, unit_id order by unit_key desc) = 1),
+old as (select file_id as doc_id, unit_id, coalesce(source, '') as src,
+    coalesce(target, '') || case when change_type = 'updated' then ' (earlier)' else chr(13) || chr(10) end as tgt from trans_unit
+  where coalesce(change_type, '') <> 'new' qualify row_number() over (partition by file_id, unit_id order by unit_key desc) = 1),
 typed as (select c.*, case when o.unit_id is null then 'new'
     when {_strip(_lf('c.src'))} = {_strip(_lf('o.src'))} and {_strip(_lf('c.tgt'))} = {_strip(_lf('o.tgt'))} then 'unchanged'
-    else 'updated' end as change_type from cur c left join old o using (doc_id, unit_id))"""
+    else 'updated' end as change_type from cur c left join old o using (doc_id, unit_id)),
+gone as (select doc_id, unit_id, src, tgt, 'removed' as change_type from old anti join cur using (doc_id, unit_id))"""
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_DRESSED = f"""dressed as (select chunk_path, {_literal(_BEFORE)} || coalesce(chunk_text, '') || {_literal(_AFTER)} ||
+  case chunk_no % 4 when 0 then {_literal(_ENDS[0])} when 1 then {_literal(_ENDS[1])} when 2 then {_literal(_ENDS[2])} else {_literal(_ENDS[3])} end as text from chunk_file)"""
+
+
+def _masked_sql() -> str:
+    """The passes of masking, one after the other: ``masked`` has text, regions and number of the next token."""
+    tags = mask.TAGS.split("|")
+    patterns = (
+        "(?s)```.*?```", "`[^`]+`", r"(?s)\$\$.*?\$\$", rf"\$[^{_W}$][^$]*[^{_W}$]\$", rf"(?i)<(?:{mask.TAGS})(?:[{_W}]+[^<>]*?)?[{_W}]*/>",
+        "(?is)" + "|".join(rf"<{t}(?:[{_W}]+[^<>]*?)?>.*?</{t}>" for t in tags),
+    )
+    steps, last = [], "masked0"
+    for k, ((kind, _), pattern) in enumerate(zip(mask.PASSES, patterns), 1):
+        steps.append(f"""split{k} as (select chunk_path, n, es, regexp_extract_all(t, '{pattern}') as f, string_split_regex(t, '{pattern}') as parts from {last}),
+masked{k} as (select chunk_path, n + len(f) as n, list_concat(es, list_transform(range(0, len(f)), lambda i: {{'ord': (n + i)::int, 'token': '{{{{PH_{kind}_' || (n + i) || '}}}}', 'original': f[i + 1]}})) as es,
+  array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || case when i <= len(f) then '{{{{PH_{kind}_' || (n + i - 1) || '}}}}' else '' end), '') as t from split{k})""")
+        last = f"masked{k}"
+    start = "[]::struct(ord int, token varchar, original varchar)[]"
+    return f"""masked0 as (select chunk_path, 0::bigint as n, {start} as es, text as t from texts),
+{", ".join(steps)}, masked as (select * from {last})"""
 
 
 def _prefix(x: str) -> str:
@@ -300,7 +403,7 @@ def _prefix(x: str) -> str:
 
 
 _TERMS = f"""
-trimmed as (select term_id, lower({_strip('domain')}) as domain, {_strip("coalesce(source, '')")} as s, {_strip("coalesce(target, '')")} as t,
+trimmed as (select term_id, lower({_strip('domain')}) as domain, {_strip("coalesce(source, '')")} as s, {_strip("case when updated_at is null then ' ' else coalesce(target, '') end")} as t,
     {_prefix('source_lang')} like 'zh%' and {_prefix('target_lang')} like 'en%' as reversed from terminology),
 directed as (select domain, term_id, case when reversed then t else s end as term, case when reversed then s else t end as translation
   from trimmed where s <> '' and t <> ''),
@@ -310,31 +413,38 @@ clash as (select d.domain, d.term_id, d.term, f.translation as kept, d.translati
   join first f on d.domain is not distinct from f.domain and d.term = f.term where d.translation <> f.translation)"""
 
 _FLAGS = f"""
-normal as (select unit_key, {_normal("coalesce(source, '')")} as s, {_normal("coalesce(target, '')")} as t from trans_unit),
+derived as (select *, coalesce(target, '') as x from trans_unit),
+normal as (select unit_key, {_normal("coalesce(source, '')")} as s,
+  {_normal("case seg_no % 10 when 7 then repeat(x || ' ', 7) when 3 then '```' || chr(10) || x else x end")} as t from derived),
 flags as (
-  select unit_key, 'missing_target' as flag_type, 'error' as severity from normal where s <> '' and t = ''
-  union all select unit_key, 'unchanged_text', 'warning' from normal where s <> '' and s = t and regexp_matches(s, '[A-Za-z]')
-  union all select unit_key, 'placeholder_leak', 'error' from normal where regexp_matches(t, '\\{{\\{{PH_[A-Z_0-9]+\\}}\\}}')
-  union all select unit_key, 'length_too_short', 'warning' from normal where s <> '' and t <> '' and length(t)::double / length(s) < 0.2
-  union all select unit_key, 'length_too_long', 'warning' from normal where s <> '' and t <> '' and length(t)::double / length(s) > 5.0
-  union all select unit_key, 'code_fence_mismatch', 'warning' from normal where {_count('s', '(?m)^```')} % 2 <> {_count('t', '(?m)^```')} % 2)"""
-
-_SEGMENTS = f"""
-chunk_texts as (select chunk_path, {_lf("coalesce(chunk_text, '')")} as text from chunk_file),
-lines as (select chunk_path, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from chunk_texts),
-marked as (select *, regexp_matches(line, '^[{_W}]*```') as fence from lines),
-numbered as (select *, sum(fence::int) over (partition by chunk_path order by pos) as n from marked),
-kinds as (select *, case when fence or n % 2 = 1 then 'code' when regexp_matches(line, '^[{_W}]*$') then 'blank'
+  select unit_key, 'missing_target' as flag_type, 'error' as severity, 'target segment is empty' as message from normal where s <> '' and t = ''
+  union all select unit_key, 'unchanged_text', 'warning', 'source and target are identical' from normal where s <> '' and s = t and regexp_matches(s, '[A-Za-z]')
+  union all select unit_key, 'placeholder_leak', 'error', 'target still contains placeholder tokens' from normal where regexp_matches(t, '\\{{\\{{PH_[A-Z_0-9]+\\}}\\}}')
+  union all select unit_key, 'length_too_short', 'warning', 'target/source length ratio is very small' from normal where s <> '' and t <> '' and length(t)::double / length(s) < 0.2
+  union all select unit_key, 'length_too_long', 'warning', 'target/source length ratio is very large' from normal where s <> '' and t <> '' and length(t)::double / length(s) > 5.0
+  union all select unit_key, 'code_fence_mismatch', 'warning', 'source/target code fence parity differs' from normal where {_count('s', '(?m)^```')} % 2 <> {_count('t', '(?m)^```')} % 2)"""
+
+def _segments(text: str, n: str = "") -> str:
+    """CTEs up to ``segs``, with a suffix, of an expression over the dressed texts."""
+    return f"""
+chunk_texts{n} as (select chunk_path, {_lf(text)} as text from dressed),
+lines{n} as (select chunk_path, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from chunk_texts{n}),
+marked{n} as (select *, regexp_matches(line, '^[{_W}]*```') as fence from lines{n}),
+numbered{n} as (select *, sum(fence::int) over (partition by chunk_path order by pos) as n from marked{n}),
+kinds{n} as (select *, case when fence or n % 2 = 1 then 'code' when regexp_matches(line, '^[{_W}]*$') then 'blank'
     when regexp_matches(line, '^[{_W}]{{0,3}}#{{1,6}}[{_W}]+[^{_W}]') then 'heading'
     when regexp_matches(line, '^[{_W}]{{0,3}}([-*+]|[0-9]+\\.)[{_W}]+[^{_W}]') then 'list'
-    when regexp_matches({_strip('line')}, '^\\|') and regexp_matches({_strip('line')}, '\\|$') then 'table' else 'paragraph' end as kind from numbered),
-starts as (select *, case when kind = 'code' then (fence and n % 2 = 1)::int when kind = 'blank' then 0
-    when kind = 'paragraph' then (coalesce(lag(kind) over (partition by chunk_path order by pos), '') <> 'paragraph')::int else 1 end as start from kinds),
-grouped as (select *, sum(start) over (partition by chunk_path order by pos) as g from starts where kind <> 'blank'
+    when regexp_matches({_strip('line')}, '^\\|') and regexp_matches({_strip('line')}, '\\|$') then 'table' else 'paragraph' end as kind from numbered{n}),
+starts{n} as (select *, case when kind = 'code' then (fence and n % 2 = 1)::int when kind = 'blank' then 0
+    when kind = 'paragraph' then (coalesce(lag(kind) over (partition by chunk_path order by pos), '') <> 'paragraph')::int else 1 end as start from kinds{n}),
+grouped{n} as (select *, sum(start) over (partition by chunk_path order by pos) as g from starts{n} where kind <> 'blank'
   or n % 2 = 1),
-joined as (select chunk_path, g, min(kind) as kind, case when min(kind) = 'code' then {_strip("string_agg(line, chr(10) order by pos)")}
-    when min(kind) = 'paragraph' then {_normal(f"string_agg({_strip('line')}, ' ' order by pos)")} else {_normal("min(line)")} end as seg from grouped group by chunk_path, g),
-segs as (select chunk_path, row_number() over (partition by chunk_path order by g) as seg_no, kind, seg from joined where seg <> '')"""
+joined{n} as (select chunk_path, g, min(kind) as kind, case when min(kind) = 'code' then {_strip("string_agg(line, chr(10) order by pos)")}
+    when min(kind) = 'paragraph' then {_normal(f"string_agg({_strip('line')}, ' ' order by pos)")} else {_normal("min(line)")} end as seg from grouped{n} group by chunk_path, g),
+segs{n} as (select chunk_path, row_number() over (partition by chunk_path order by g) as seg_no, kind, seg from joined{n} where seg <> '')"""
+
+
+_SEGMENTS = _DRESSED + ", " + _segments("text")
 
 
 def _bare(x: str) -> str:
@@ -395,6 +505,64 @@ select unit_key, 'term_inconsistency' as flag_type, 'expected terminology ''' ||
 from normal join lex using (sl, tl) where s <> '' and t <> '' and not starts_with(s, '```') and {has('s', 'term')} and not {has('t', 'translation')}"""
 
 
+def _chunks_sql(size: int) -> str:
+    """Sections of the dressed texts, and their packing as a recursion over the parts: ``packed`` has a list of chunks."""
+    ends = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    return f"""with recursive {_DRESSED},
+cut as (select chunk_path, text, string_split_regex(text, '(?m)^##[{_W}]+') as parts from dressed),
+listed as (select chunk_path, text, len(parts) as n, unnest(parts) as p, unnest(range(0, len(parts))) as i from cut),
+headed as (select *, string_split_regex({_strip("p")}, '{ends}') as ls from listed),
+sectioned as (select chunk_path, text, n, i, case when i = 0 then {_strip("p")} else {_strip("'## ' || " + _strip("ls[1]") + " || chr(10) || array_to_string(ls[2:], chr(10))")} end as x, {_strip("p")} <> '' as whole from headed),
+sections as (select chunk_path, i, x from sectioned where n > 1 and whole union all select chunk_path, 0, any_value(text) from sectioned group by chunk_path having any_value(n) <= 1 or not bool_or(whole)),
+parts as (select chunk_path, i, 0 as j, x, false as f from sections where length(x) <= {size} union all
+  select chunk_path, i, row_number() over (partition by chunk_path, i order by j) as j, x, row_number() over (partition by chunk_path, i order by j) = 1 as f
+  from (select chunk_path, i, unnest(string_split(x, chr(10) || chr(10))) as x, unnest(range(0, len(string_split(x, chr(10) || chr(10))))) as j from sections where length(x) > {size})
+  where not regexp_matches(x, '^[{_W}]*$')),
+ordered as (select chunk_path, row_number() over (partition by chunk_path order by i, j) as k, x, f, length(x) as n from parts),
+folded as (select chunk_path, 0::bigint as k, []::varchar[] as done, null::varchar as cur, 0::bigint as size from dressed
+  union all select o.chunk_path, o.k,
+    case when o.n > {size} then list_concat(done, case when cur is null then [] else [cur] end, list_transform(range(0, (o.n - 1) // {size} + 1), lambda i: substr(o.x, i * {size} + 1, {size})))
+      when cur is not null and (o.f or size + o.n + 2 > {size}) then list_append(done, cur) else done end,
+    case when o.n > {size} then null when cur is null or o.f or size + o.n + 2 > {size} then o.x else cur || chr(10) || chr(10) || o.x end,
+    case when o.n > {size} then 0 when cur is null or o.f or size + o.n + 2 > {size} then o.n else size + o.n + case when size > 0 then 2 else 0 end end
+  from folded c join ordered o on c.chunk_path = o.chunk_path and o.k = c.k + 1),
+last as (select chunk_path, case when cur is null then done else list_append(done, cur) end as chunks from folded qualify row_number() over (partition by chunk_path order by k desc) = 1),
+packed as (select chunk_path, case when len(chunks) = 0 then [''] else chunks end as chunks from last)"""
+
+
+def _export_sql() -> str:
+    """Segments of the present and the earlier sides, pairs with ids, change types, flags, and figures for each document."""
+    def ids(n: str, s: str, t: str) -> str:
+        return f"""pairs{n} as (select coalesce(a.chunk_path, b.chunk_path) as doc_id, coalesce(a.seg_no, b.seg_no) as i, coalesce(a.seg, '') as src, coalesce(b.seg, '') as tgt
+  from segs{s} a full join segs{t} b on a.chunk_path = b.chunk_path and a.seg_no = b.seg_no),
+base{n} as (select *, substr(sha1(case when src <> '' then src else '_empty_source_' || row_number() over (partition by doc_id order by i) end), 1, 12) as h from pairs{n}),
+units{n} as (select *, h || '-' || row_number() over (partition by doc_id, h order by i) as id from base{n})"""
+
+    def term(text: str, word: str) -> str:
+        return f"regexp_matches({text}, '(?i)(^|[^A-Za-z0-9_]){word}($|[^A-Za-z0-9_])')"
+
+    row = "'| a | b |' || chr(10)"
+    target = f"replace(replace(text, '1. third', '1. dritte'), {row}, '')"
+    old = "replace(text, '- first', '- former') || chr(10) || '```' || chr(10) || chr(10) || 'Gone'"
+    flags = f"""(s <> '' and t = '')::int + (s <> '' and s = t and regexp_matches(s, '[A-Za-z]'))::int + regexp_matches(t, '\\{{\\{{PH_[A-Z_0-9]+\\}}\\}}')::int
+  + (s <> '' and t <> '' and (length(t)::double / length(s) < 0.2 or length(t)::double / length(s) > 5.0))::int + ({_count('s', '(?m)^```')} % 2 <> {_count('t', '(?m)^```')} % 2)::int"""
+    errors = "(s <> '' and t = '') or regexp_matches(t, '\\{\\{PH_[A-Z_0-9]+\\}\\}')"
+    terms = " + ".join(f"(s <> '' and t <> '' and not starts_with(s, '```') and {term('s', a)} and not {term('t', b)})::int" for a, b in (("third", "dritter"), ("Part", "Part")))
+    return f"""with {_DRESSED}, {_segments("text", "1")}, {_segments(target, "2")}, {_segments(old, "3")}, {_segments("replace(text, '1. third', '1. dritter')", "4")},
+{ids("n", "1", "2")}, {ids("o", "3", "4")},
+typed as (select c.*, case when o.id is null then 'new' when {_strip('c.src')} = {_strip('o.src')} and {_strip('c.tgt')} = {_strip('o.tgt')} then 'unchanged' else 'updated' end as ct
+  from unitsn c left join unitso o using (doc_id, id)),
+gone as (select doc_id, count(*) as n from (select doc_id, id from unitso except select doc_id, id from unitsn) group by doc_id),
+flagged as (select doc_id, {flags} + {terms} as n, ({errors})::int as bad, ({flags}) + ({terms}) > 0 as any_flag
+  from (select doc_id, {_normal('src')} as s, {_normal('tgt')} as t from typed where ct <> 'unchanged')),
+summed as (select doc_id, sum(n) as n, max(bad) as bad, bool_or(any_flag) as any_flag from flagged group by doc_id)
+select doc_id, count(*) filter (ct <> 'unchanged') as pairs, count(*) filter (src <> '') as source_segments, count(*) filter (tgt <> '') as target_segments,
+  count(*) filter (ct <> 'unchanged') as changed_pairs, coalesce(any_value(g.n), 0) as removed_pairs, count(*) as stable_ids, true as incremental, coalesce(any_value(f.n), 0)::bigint as qa_flags,
+  2::bigint as glossary_terms, case when any_value(f.bad) = 1 then 'error' when any_value(f.any_flag) then 'warning' else 'none' end as max_severity, 'error' as fail_on_severity,
+  case when any_value(f.bad) = 1 then 2 else 0 end as exit_code
+from typed left join gone g using (doc_id) left join summed f using (doc_id) group by doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     percent = "least(100, n_units * 100 // 90)"
     return {
@@ -402,9 +570,10 @@ def oracle_sql() -> dict[str, str]:
         "align_mismatches": f"""with {_CELLS}, n as (select doc_id, count(*) filter (src <> '') as source_segments, count(*) filter (tgt <> '') as target_segments
 from pairs group by doc_id) select * from n where source_segments <> target_segments""",
         "change_types": f"with {_VERSIONS} select doc_id, unit_id, unit_key, change_type from typed",
-        "changed_only": f"""with {_VERSIONS} select project, count(*) as pairs, count(*) filter (change_type = 'updated') as updated
+        "changed_only": f"""with {_VERSIONS} select project, count(*) as pairs, count(*) filter (change_type = 'updated') as updated, count(*) filter (change_type = 'new') as added
 from typed where change_type <> 'unchanged' group by project""",
-        "removed_units": f"with {_VERSIONS} select doc_id, unit_id, src, tgt from old anti join cur using (doc_id, unit_id)",
+        "removed_units": f"with {_VERSIONS} select * from gone",
+        "removed_map": f"with {_VERSIONS} select doc_id || '/' || unit_id as stable_id, src as source_en, change_type, true as sorted from gone",
         "glossary_build": f"with {_TERMS} select domain, term, translation from first",
         "glossary_collisions": f"with {_TERMS} select domain, term_id, term, kept, dropped from clash",
         "glossary_examples": f"""with {_TERMS} select domain, term_id, term, kept, dropped, row_number() over (partition by domain order by term_id)::int as example_no
@@ -412,15 +581,29 @@ from clash qualify row_number() over (partition by domain order by term_id) <= {
         "glossary_summary": f"""with {_TERMS}, n as (select domain, count(*) as n, count(*) filter (s = '' or t = '') as skipped_count from trimmed group by domain)
 select n.domain, (select count(*) from first f where f.domain is not distinct from n.domain) as term_count, skipped_count,
   (select count(*) from clash c where c.domain is not distinct from n.domain) as collision_count from n""",
+        "glossary_selection": f"""with {_TERMS}, kept as (select nullif(domain, '') as domain, count(*) as n from (select distinct nullif(domain, '') as domain, term from directed) group by 1),
+scored as ({_domain_sql()}), own as (select doc_id, score, k.n, case when k.n is null then 'default' else scored.domain end as selected_domain from scored left join kept k using (domain))
+select doc_id, score, selected_domain, coalesce(n, (select k.n from kept k where k.domain is null), 0) as term_count from own""",
         "domain_scores": _domain_sql(),
-        "qa_flags": f"with {_FLAGS} select unit_key, flag_type, severity from flags",
+        "export_summary": _export_sql(),
+        "chunks": _chunks_sql(800) + """ select chunk_path, unnest(range(1, len(chunks) + 1))::int as chunk_no, unnest(list_transform(range(1, len(chunks) + 1), lambda i: printf('chunk_%03d.md', i))) as name,
+  unnest(chunks) as chunk from packed""",
+        "chunk_manifest": _chunks_sql(800) + """ select chunk_path, 800 as chunk_size, len(chunks)::int as chunk_count,
+  array_to_string(list_transform(range(1, len(chunks) + 1), lambda i: printf('chunk_%03d.md', i)), ',') as chunks from packed""",
+        "qa_flags": f"with {_FLAGS} select unit_key, flag_type, severity, message from flags",
         "qa_term_flags": _term_sql(),
-        "qa_gate": f"""with {_FLAGS} select coalesce(max(case severity when 'error' then 'error' end), max(severity), 'none') as max_severity,
-  count(*) filter (severity = 'error') > 0 as failed from flags""",
+        "qa_gate": f"""with {_FLAGS}, sets(name, least, most) as (values ('all', 1, 2), ('mild', 1, 1), ('none', 0, 0)), ranks(threshold, r) as (values ('none', 0), ('warning', 1), ('error', 2)),
+ranked as (select case severity when 'error' then 2 else 1 end as r, count(*) as n from flags group by 1),
+worst as (select name, coalesce((select max(r) from ranked where r between least and most), 0) as m from sets)
+select name || ' ' || threshold as threshold, ['none', 'warning', 'error'][m + 1] as max_severity, r > 0 and m >= r as failed from worst, ranks""",
         "segments": f"with {_SEGMENTS} select chunk_path, seg_no::int as seg_no, kind, seg from segs",
-        "mask_restore": "select chunk_path from chunk_file where false",
-        "repaired": f"select chunk_path, {_repaired(chr(99) + 'oalesce(chunk_text, chr(0))')} as text from chunk_file".replace("chr(0)", "''"),
-        "syntax_errors": _errors("chunk_path", "chunk_text", "chunk_file") + " union all " + _errors("'unit/' || unit_key", "target", "trans_unit"),
+        "mask_regions": f"""with {_DRESSED}, texts as (select chunk_path, text from dressed union all select 'unit/' || unit_key, source from trans_unit where source is not null),
+{_masked_sql()}, each as (select chunk_path, unnest(es) as e from masked) select chunk_path, e.ord as ord, e.token as token, e.original as original from each""",
+        "mask_restore": f"""with {_DRESSED}, texts as (select chunk_path, text from dressed), {_masked_sql()}
+select chunk_path, text as reverse, list_reduce(list_prepend({{'token': '', 'original': t}}, list_transform(es, lambda e: {{'token': e.token, 'original': e.original}})),
+  lambda a, e: {{'token': '', 'original': replace(a.original, e.token, e.original)}}).original as creation from masked join dressed using (chunk_path)""",
+        "repaired": f"with {_DRESSED} select chunk_path, {_repaired('text')} as text from dressed",
+        "syntax_errors": f"with {_DRESSED} " + _errors("chunk_path", "text", "dressed") + " union all " + _errors("'unit/' || unit_key", "target", "trans_unit"),
         "length_profile": f"""select doc_id, length(text)::int as chars, {_count('text', f'[^{_W}]+')}::int as words, (length(text) // 3)::int as tokens,
   case when length(text) > 5000 then 'SPLIT' else 'OK' end as route from documents""",
         "line_kinds": f"""with {_SEGMENTS} select count(*) as lines, count(*) filter (regexp_matches(line, '^[{_W}]{{0,3}}#{{1,6}}[{_W}]+[^{_W}]')) as headings,
@@ -428,6 +611,11 @@ select n.domain, (select count(*) from first f where f.domain is not distinct fr
   count(*) filter (regexp_matches({_strip('line')}, '^\\|') and regexp_matches({_strip('line')}, '\\|$')) as rows, count(*) filter (fence) as fences from marked""",
         "delivered_chunks": """select manifest_id, chunk_count, len(chunks) as listed, (select count(*) from chunk_file c where c.manifest_id = m.manifest_id) as delivered
 from chunks_manifest m""",
+        "diff_rates": f"""with texts as (select unit_key, coalesce(source, '') as l, coalesce(target, '') as r from trans_unit),
+coded as (select *, array_to_string(list_distinct(string_split(l || r, '')), '') as signs, array_to_string(list_transform(range(1, 128), lambda i: chr(i::int)), '') as codes from texts),
+measured as (select unit_key, levenshtein(translate(l, signs, codes), translate(r, signs, codes))::int as distance, greatest(length(l), length(r), 1)::int as max_len from coded),
+rated as (select *, printf('%.2f', distance / max_len * 100)::double as diff_rate from measured)
+select *, case when diff_rate <= 10 then 'PASS' else 'WARNING' end as verdict from rated""",
         "normalized": f"select unit_key, {_normal('target')} as target from trans_unit",
         "xliff_documents": f"""with {_CELLS} select doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xliff version="1.2">' || chr(10) || '  <file original="' || {_xml('any_value(original)')}
   || '" source-language="' || {_xml('any_value(source_lang)')} || '" target-language="' || {_xml('any_value(target_lang)')} || '" datatype="plaintext">' || chr(10) || '    <body>' || chr(10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -50,12 +51,14 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is configured."""
+    """The shared checkpoint folder of the cluster; a temporary one only in local mode, where all tasks run in one process."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="bitloom-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

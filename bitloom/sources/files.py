@@ -66,7 +66,8 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
         strip(F.coalesce(F.col(f"`{names['stable_id']}`"), F.lit(""))).alias("unit_id"),
         F.coalesce(F.col(f"`{names[source[0]]}`"), F.lit("")).alias("src"),
         F.coalesce(F.col(f"`{names[target[0]]}`"), F.lit("")).alias("tgt"),
-        F.monotonically_increasing_id().alias("_row"),  # rises in row order within the file
+        # a file in one piece (multiLine), so rows count up within it; of several files the last by name counts
+        F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_row"),
     ).where(F.col("unit_id") != "")
     return rows.groupBy("unit_id").agg(F.max_by(F.struct("src", "tgt"), "_row").alias("v")).select("unit_id", "v.src", "v.tgt")
 

@@ -113,13 +113,44 @@ def write_chunks(chunks: DataFrame, folder: str, key: str = "doc_id") -> None:
     write_files(chunks.select(key, "name", F.col("chunk").alias("content")), folder, F.concat_ws("/", F.col(key).cast("string"), "name"))
 
 
-def glossary_json(glossary: DataFrame, summary: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
-    """(content): the glossary as one JSON document with its header fields; for glossaries that people keep, not for corpora."""
-    entries = glossary.agg(F.array_sort(F.collect_list(F.struct("term", "translation"))).alias("e"))
-    head = summary.select("term_count", "collision_count").first()
-    return entries.select(F.to_json(F.struct(
+def glossary_json(entries: DataFrame, source_lang: str, target_lang: str, order: str = "term_id") -> DataFrame:
+    """(content): one JSON document with header fields, collision examples and the map in the order of its first entries.
+
+    ``entries`` are directed (see :func:`bitloom.operators.glossary.directed`), of one group. For glossaries that people keep: a
+    document is one row.
+    """
+    from bitloom.operators import glossary
+
+    kept = entries.groupBy("term").agg(F.min_by("translation", order).alias("translation"), F.min(order).alias("at"))
+    clashes = glossary.collisions(entries, order, [])
+    counted = clashes.agg(F.count(F.lit(1)).alias("collision_count"))
+    shown = clashes.orderBy(order).limit(glossary.EXAMPLES_KEPT).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(order, "term", "kept", "dropped"))), lambda x: F.struct(x["term"].alias("term"), x["kept"].alias("kept"), x["dropped"].alias("dropped"))
+    ).alias("collision_examples"))
+    whole = kept.agg(F.array_sort(F.collect_list(F.struct("at", "term", "translation"))).alias("e"))
+    one = whole.join(counted).join(shown)  # three single rows
+    return one.select(F.to_json(F.struct(
         F.lit(source_lang).alias("source_language"), F.lit(target_lang).alias("target_language"),
         F.lit(f"{source_lang}->{target_lang}").alias("direction"),
-        F.lit(head.term_count if head else 0).alias("term_count"), F.lit(head.collision_count if head else 0).alias("collision_count"),
-        F.map_from_entries("e").alias("map"),
+        F.lit(source_lang.lower().startswith("zh") and target_lang.lower().startswith("en")).alias("reversed_from_default_en_zh"),
+        F.size("e").alias("term_count"), "collision_count", "collision_examples",
+        F.map_from_entries(F.transform("e", lambda x: F.struct(x["term"].alias("term"), x["translation"].alias("translation")))).alias("map"),
+    )).alias("content"))
+
+
+def write_removed(removed: DataFrame, has_baseline: bool, path: str, source_lang: str, target_lang: str) -> bool:
+    """The removed map, sorted by id; written only where there is a baseline to compare with."""
+    if has_baseline:
+        write_csv(segment_map(removed, source_lang, target_lang), path, ["stable_id"])
+    return has_baseline
+
+
+def write_manifest(documents: DataFrame, folder: str, size: int, key: str = "doc_id", text: str = "text") -> None:
+    """The chunk files of each document, and a manifest beside them."""
+    from bitloom.operators import chunk
+
+    write_chunks(chunk.chunks(documents, size, key, text), folder, key)
+    manifests = chunk.manifest(documents, size, key, text).select(key, F.to_json(F.struct(
+        F.col(key).cast("string").alias("source_file"), "chunk_size", "chunk_count", "chunks"
     )).alias("content"))
+    write_files(manifests, folder, F.concat_ws("/", F.col(key).cast("string"), F.lit("chunks_manifest.json")))

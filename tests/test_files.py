@@ -1,6 +1,8 @@
 import csv
 import io
 import json
+import subprocess
+import sys
 import time
 import xml.etree.ElementTree as ET
 
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import chunk
-from bitloom.plans import progress
+from bitloom.plans import progress, selection
 from bitloom.plans.export import export
 from bitloom.sources import files, writers
 from bitloom.streaming.documents import document_stream, write_segments
@@ -54,7 +56,9 @@ def test_export(spark, tmp_path):
     first = export(source, target, glossary=gl)
     assert {r.flag_type for r in first.flags.collect()} == {"length_too_short", "unchanged_text", "term_inconsistency"}
     assert first.summary.first().asDict() == {
-        "doc_id": 1, "source_segments": 3, "target_segments": 4, "changed_pairs": 4, "pairs": 4, "removed_pairs": 0, "qa_flags": 3}
+        "doc_id": 1, "source_segments": 3, "target_segments": 4, "changed_pairs": 4, "stable_ids": 4, "pairs": 4, "removed_pairs": 0, "qa_flags": 3,
+        "incremental": False, "glossary_terms": 1, "max_severity": "warning", "fail_on_severity": "none", "exit_code": 0}
+    assert export(source, target, glossary=gl, threshold="warning").summary.first().exit_code == 2
     changed = export(source, docs(spark, "# T3\n\nv"), baseline=first.pairs, only_changed=True)
     assert sorted(r.change_type for r in changed.pairs.collect()) == ["unchanged", "updated", "updated"]
     assert changed.selected.count() == 2 and changed.removed.count() == 1
@@ -72,8 +76,36 @@ def test_export(spark, tmp_path):
     assert ET.parse(tmp_path / "x/1.xliff").getroot().find("file").get("original") == "o"
     writers.write_chunks(chunk.chunks(docs(spark, "a" * 30), 20), str(tmp_path / "c"))
     assert (tmp_path / "c/1/chunk_002.md").read_text() == "a" * 10
-    found = writers.glossary_json(gl, spark.createDataFrame([(1, 0)], "term_count int, collision_count int"), "en", "de").first().content
-    assert json.loads(found)["map"] == {"valve": "Ventil"}
+    entries = spark.createDataFrame([(3, "valve", "Ventil"), (1, "pump", "Pumpe"), (4, "pump", "Pumpen"), (5, "pump", "Pumpe")], "term_id int, term string, translation string")
+    found = json.loads(writers.glossary_json(entries, "en-US", "de").first().content)
+    assert list(found["map"].items()) == [("pump", "Pumpe"), ("valve", "Ventil")] and found["term_count"] == 2 and found["collision_count"] == 1
+    assert found["collision_examples"] == [{"term": "pump", "kept": "Pumpe", "dropped": "Pumpen"}] and found["direction"] == "en-US->de"
+    assert not found["reversed_from_default_en_zh"] and json.loads(writers.glossary_json(entries.limit(0), "zh-CN", "en").first().content)["reversed_from_default_en_zh"]
+    writers.write_manifest(docs(spark, "a" * 30), str(tmp_path / "m"), 20)
+    assert json.loads((tmp_path / "m/1/chunks_manifest.json").read_text()) == {"source_file": "1", "chunk_size": 20, "chunk_count": 2, "chunks": ["chunk_001.md", "chunk_002.md"]}
+    assert not writers.write_removed(changed.removed, False, str(tmp_path / "r0"), "en", "de") and not (tmp_path / "r0").exists()
+    assert writers.write_removed(changed.removed, True, str(tmp_path / "r1"), "en", "de") and spark.read.csv(str(tmp_path / "r1"), header=True).count() == 1
+
+
+def test_commands_pass_their_output_through():
+    out = io.StringIO()
+    assert progress.run([sys.executable, "-c", "import sys; print('one'); print('two', file=sys.stderr)"], 1, 1, "s", out=out) == 0
+    said = out.getvalue().splitlines()
+    assert said[0].endswith("| START") and {"one", "two"} == set(said[1:-1]) and " | DONE | " in said[-1]
+    with pytest.raises(subprocess.CalledProcessError):
+        progress.run([sys.executable, "-c", "raise SystemExit(3)"], 1, 1, "s", out=out)
+    assert " | ERROR | CalledProcessError elapsed=" in out.getvalue().splitlines()[-1]
+
+
+def test_selection(spark):
+    paths = {"default": "d.json", "ecommerce": "e.json"}
+    assert selection.select_path(spark, paths, explicit="x.json", domain="auto", text="sku").path == "x.json"
+    auto = selection.select_path(spark, paths, domain="auto", text="The SKU of a listing")
+    assert auto.path == "e.json" and auto.score >= 3 and set(auto.matches) == {"listing", "sku"}
+    assert selection.select_path(spark, paths, domain="auto", text="pumps").path == selection.select_path(spark, paths, domain="other").path == "d.json"
+    assert selection.select_path(spark, paths, domain="ecommerce").domain == "ecommerce"
+    with pytest.raises(ValueError):
+        selection.select_path(spark, {}, domain="x")
 
 
 def test_progress():
