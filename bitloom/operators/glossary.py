@@ -90,36 +90,57 @@ def term_key(term: Column) -> Column:
     ).otherwise(F.substring(term, 1, 2))
 
 
-def text_keys(text: Column) -> Column:
-    """The keys of all terms that a text can hold: its words, and beyond ASCII its characters, single and in twos."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_LATIN), F.lit(0)))
-    # characters of the parts beyond ASCII only; a pair may begin or end with an ASCII one
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_distinct(F.concat(words, _grams(F.split(text, ""))))).otherwise(words)
+def with_text_keys(texts: DataFrame, text: str, keys: str) -> DataFrame:
+    """The keys of all terms that a text can hold: its words, and beyond ASCII its characters, single and in twos.
 
-
-def _grams(signs: Column) -> Column:
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(signs)), lambda i: F.array(
-        F.element_at(signs, i), F.concat(F.element_at(signs, i), F.coalesce(F.get(signs, i), F.lit("")))
-    )))
-
-
-#: A glossary counts as small up to so many rows and characters, counted first; it is then handed to every task.
+    Characters and keys are projections of their own, so that each is computed once for a text.
+    """
+    c = F.col
+    wide = c(text).rlike(r"[^\x00-\x7f]")
+    parts = texts.withColumns({
+        "_signs": F.when(wide, F.split(text, "")).otherwise(F.array().cast("array<string>")),
+        "_words": F.regexp_extract_all(F.lower(text), F.lit(_LATIN), F.lit(0)),
+    })
+    # the last character has no second one; its pair is null and no key
+    pairs = F.zip_with("_signs", F.slice("_signs", F.lit(2), F.greatest(F.size("_signs"), F.lit(1))), lambda x, y: F.concat(x, y))
+    return parts.withColumn(keys, F.array_distinct(F.concat("_words", "_signs", pairs))).drop("_signs", "_words")
+
+
+#: A glossary counts as small up to so many characters and rows, counted first; it is then handed to every task.
 BROADCAST_CHARS = 5_000_000
+#: Up to so many terms under one key each text looks for them one by one, which is cheaper than taking its words apart.
+FEW_TERMS = 500
 
 
 def term_hits(texts: DataFrame, glossary: DataFrame, text: str, on: list[str]) -> DataFrame:
-    """Rows of ``texts`` joined with the glossary entries whose term they contain.
+    """Rows of ``texts`` joined with the glossary entries whose term they contain; ``on`` names columns that both share.
 
-    The term's first word (or first two characters) is an equi-join key, and ``on`` may name more; only
-    candidates are tested in full. So the work grows with hits, not with rows times terms. The glossary is
-    broadcast if its counted size allows it, else both sides are shuffled by the keys.
+    The counted size of the glossary decides how, for the same rows. A few terms under each key are one array that a text filters.
+    Else the term's first word (or first two characters) is an equi-join key as well, and only candidates
+    are tested in full, so that the work grows with hits, not with rows times terms; a small glossary is
+    broadcast, and for others both sides are shuffled by the keys.
     """
+    columns = [c for c in glossary.columns if c not in on]
+    per_key = glossary.groupBy(*[F.col(c) for c in on]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("term") + F.length("translation")).alias("chars")
+    )
+    rows, chars, most = per_key.agg(F.sum("n"), F.sum("chars"), F.max("n")).first()
+    small = (rows or 0) <= BROADCAST_TERMS and (chars or 0) <= BROADCAST_CHARS
+    if small and (most or 0) <= FEW_TERMS:
+        key = [*on, "_key"]
+        arrays = glossary.withColumns({"_key": F.lit(0), "_low": F.lower("term")}).groupBy(*key).agg(
+            F.collect_list(F.struct(*columns, "_low")).alias("_terms")
+        )
+        low = texts.withColumns({"_key": F.lit(0), "_text_low": F.lower(F.col(text))})
+        near = low.join(F.broadcast(arrays), key).withColumn(
+            "_term_hit", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text_low"), t["_low"])))
+        )
+        hits = near.select(*[F.col(c) for c in texts.columns], *[F.col(f"_term_hit.{c}").alias(c) for c in columns])
+        return hits.where(contains_term(F.col(text), F.col("term")))
     terms = glossary.withColumn("_term_key", term_key(F.col("term")))
-    rows, chars = glossary.agg(F.count(F.lit(1)), F.sum(F.length("term") + F.length("translation"))).first()
-    if rows <= BROADCAST_TERMS and (chars or 0) <= BROADCAST_CHARS:
+    if small:
         terms = F.broadcast(terms)
-    # the keys are a projection of their own, so that they are computed once for each text
-    keyed = texts.withColumn("_keys", text_keys(F.col(text)))
+    keyed = with_text_keys(texts, text, "_keys")
     hits = keyed.withColumn("_term_key", F.explode("_keys")).drop("_keys").join(terms, [*on, "_term_key"])
     return hits.where(contains_term(F.col(text), F.col("term"))).drop("_term_key")
 

@@ -611,9 +611,14 @@ select chunk_path, text as reverse, list_reduce(list_prepend({{'token': '', 'ori
   count(*) filter (regexp_matches({_strip('line')}, '^\\|') and regexp_matches({_strip('line')}, '\\|$')) as rows, count(*) filter (fence) as fences from marked""",
         "delivered_chunks": """select manifest_id, chunk_count, len(chunks) as listed, (select count(*) from chunk_file c where c.manifest_id = m.manifest_id) as delivered
 from chunks_manifest m""",
-        "diff_rates": f"""with texts as (select unit_key, coalesce(source, '') as l, coalesce(target, '') as r from trans_unit),
-coded as (select *, array_to_string(list_distinct(string_split(l || r, '')), '') as signs, array_to_string(list_transform(range(1, 128), lambda i: chr(i::int)), '') as codes from texts),
-measured as (select unit_key, levenshtein(translate(l, signs, codes), translate(r, signs, codes))::int as distance, greatest(length(l), length(r), 1)::int as max_len from coded),
+        "diff_rates": f"""with texts as (select unit_key, coalesce(source, '') as l, coalesce(target, '') as r, list_distinct(string_split(coalesce(source, ''), '')) as ls,
+  list_distinct(string_split(coalesce(target, ''), '')) as rs from trans_unit),
+-- the distance of this engine goes by bytes: signs of both sides get a byte each, those of one side alone one that the other hasn't
+coded as (select *, list_filter(ls, lambda x: list_contains(rs, x)) as shared, list_filter(ls, lambda x: not list_contains(rs, x)) as only_l, list_filter(rs, lambda x: not list_contains(ls, x)) as only_r,
+  list_transform(range(3, 128), lambda i: chr(i::int)) as codes from texts),
+mapped as (select *, array_to_string(list_slice(codes, 1, len(shared)), '') as known from coded),
+measured as (select unit_key, levenshtein(translate(l, array_to_string(shared, '') || array_to_string(only_l, ''), known || repeat(chr(1), len(only_l))),
+  translate(r, array_to_string(shared, '') || array_to_string(only_r, ''), known || repeat(chr(2), len(only_r))))::int as distance, greatest(length(l), length(r), 1)::int as max_len from mapped),
 rated as (select *, printf('%.2f', distance / max_len * 100)::double as diff_rate from measured)
 select *, case when diff_rate <= 10 then 'PASS' else 'WARNING' end as verdict from rated""",
         "normalized": f"select unit_key, {_normal('target')} as target from trans_unit",

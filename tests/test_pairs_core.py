@@ -124,3 +124,17 @@ def test_hot_keys_are_spread_and_joined_whole(spark):
     assert joined.count() == 60_000 and joined.where("k is null").first().n == 40_000
     assert hot_keys(one, ["k"], "n", 100) is None
     assert join_nulls_equal(one, one.withColumnRenamed("n", "m"), ["k"]).where("n = m").count() == 20_001
+
+
+def test_ways_of_finding_terms_agree(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a", "The Pump and the gear-box, pumps"), (2, "a", "水泵和阀门"), (3, "b", "pump"), (4, "a", ""), (5, "a", "ÉCLAIR pump_x İpump")], "id int, g string, t string")
+    terms = spark.createDataFrame([("a", "pump", "x"), ("a", "gear-box", "y"), ("a", "水泵", "z"), ("a", "泵和阀", "q"), ("a", "门", "m"), ("b", "gear", "g"), ("a", "éclair", "e")], "g string, term string, translation string")
+    found = []
+    for few, rows in ((500, 20_000), (0, 20_000), (0, 0)):
+        monkeypatch.setattr(glossary, "FEW_TERMS", few)
+        monkeypatch.setattr(glossary, "BROADCAST_TERMS", rows)
+        for on in (["g"], []):
+            hits = glossary.term_hits(texts, terms if on else terms.drop("g"), "t", on)
+            found.append((len(on), sorted((r.id, r.term) for r in hits.select("id", "term").collect())))
+    assert all(f == next(x for n, x in found if n == k) for k, f in found)
+    assert found[0][1] == [(1, "gear-box"), (1, "pump"), (2, "水泵"), (2, "泵和阀"), (2, "门"), (5, "éclair")]
