@@ -135,14 +135,14 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text: str, on: list[str]) -
         near = low.join(F.broadcast(arrays), key).withColumn(
             "_term_hit", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text_low"), t["_low"])))
         )
-        hits = near.select(*[F.col(c) for c in texts.columns], *[F.col(f"_term_hit.{c}").alias(c) for c in columns])
-        return hits.where(contains_term(F.col(text), F.col("term")))
+        hits = near.where(contains_term(F.col(text), F.col("_term_hit.term"), F.col("_text_low")))
+        return hits.select(*[F.col(c) for c in texts.columns], *[F.col(f"_term_hit.{c}").alias(c) for c in columns])
     terms = glossary.withColumn("_term_key", term_key(F.col("term")))
     if small:
         terms = F.broadcast(terms)
-    keyed = with_text_keys(texts, text, "_keys")
+    keyed = with_text_keys(texts, text, "_keys").withColumn("_text_low", F.lower(F.col(text)))
     hits = keyed.withColumn("_term_key", F.explode("_keys")).drop("_keys").join(terms, [*on, "_term_key"])
-    return hits.where(contains_term(F.col(text), F.col("term"))).drop("_term_key")
+    return hits.where(contains_term(F.col(text), F.col("term"), F.col("_text_low"))).drop("_term_key", "_text_low")
 
 
 def domain_matches(text: Column, strong: tuple[str, ...] = STRONG_KEYWORDS, weak: tuple[str, ...] = WEAK_KEYWORDS) -> Column:
