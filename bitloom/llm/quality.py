@@ -34,6 +34,9 @@ from bitloom.runtime import spread
 #: The list of common words goes to every worker as an Arrow array, so its size is checked: this is some 20 MB.
 MAX_COMMON_WORDS = 1_000_000
 
+#: Bytes of text that are measured together.
+PART_BYTES = 4_000_000
+
 # Thresholds of the rules.
 MIN_PROSE_SHARE = 0.5
 MIN_WORDS, MAX_WORDS = 50, 100_000
@@ -143,9 +146,14 @@ def counts(documents: DataFrame, words: DataFrame) -> DataFrame:
     common = common_words(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = count(b["text"].cast(pa.string()), common)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(done[c], pa.int64()) for c in COUNTS]], ["doc_id", *COUNTS])
+        for whole in batches:
+            # parts of bounded size, as a batch of long texts takes several times their memory
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy(zero_copy_only=False)) // PART_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+            for a, z in zip(edges, edges[1:]):
+                b = whole.slice(a, z - a)
+                done = count(b["text"].cast(pa.string()), common)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(done[c], pa.int64()) for c in COUNTS]], ["doc_id", *COUNTS])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)

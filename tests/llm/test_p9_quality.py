@@ -67,3 +67,13 @@ def test_labels_agree(spark, data):
     labels = table(spark, data, "page_labels")
     joined = labels.join(found, labels.doc_id == found.f, "left").selectExpr("(f is not null) = (label <> 'prose') as ok").collect()
     assert sum(r.ok for r in joined) >= 0.8 * len(joined)
+
+
+def test_batches_are_measured_in_parts(spark, data, monkeypatch):
+    from bitloom.runtime import table
+
+    docs, words = table(spark, data, "documents"), table(spark, data, "common_words")
+    want = sorted(map(tuple, Q.counts(docs, words).collect()))
+    monkeypatch.setattr(Q, "PART_BYTES", 1000)
+    assert sorted(map(tuple, Q.counts(docs, words).collect())) == want
+    assert Q.counts(docs.limit(0), words).count() == 0
