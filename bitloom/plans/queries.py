@@ -85,9 +85,9 @@ def removed_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The terms, those without a date with a blank target, and their directed entries."""
+    """The terms, those without a domain with a blank target, and their directed entries."""
     terms = table(spark, d, "terminology").withColumns({
-        "domain": F.lower(X.strip(F.col("domain"))), "target": F.when(F.col("updated_at").isNull(), " ").otherwise(F.col("target")),
+        "domain": F.lower(X.strip(F.col("domain"))), "target": F.when(F.col("domain").isNull(), " ").otherwise(F.col("target")),
     })
     return terms, glossary.directed(terms, X.reversed_direction(F.col("source_lang"), F.col("target_lang")), "term_id", ["domain"])
 
@@ -403,7 +403,7 @@ def _prefix(x: str) -> str:
 
 
 _TERMS = f"""
-trimmed as (select term_id, lower({_strip('domain')}) as domain, {_strip("coalesce(source, '')")} as s, {_strip("case when updated_at is null then ' ' else coalesce(target, '') end")} as t,
+trimmed as (select term_id, lower({_strip('domain')}) as domain, {_strip("coalesce(source, '')")} as s, {_strip("case when domain is null then ' ' else coalesce(target, '') end")} as t,
     {_prefix('source_lang')} like 'zh%' and {_prefix('target_lang')} like 'en%' as reversed from terminology),
 directed as (select domain, term_id, case when reversed then t else s end as term, case when reversed then s else t end as translation
   from trimmed where s <> '' and t <> ''),
