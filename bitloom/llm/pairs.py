@@ -154,8 +154,14 @@ def wordy(text: str, model: Model) -> bool:
     return any(len(w) > 2 and w in model.logs for w in _TOKEN.findall(rest.lower()))
 
 
+def _first(text: str) -> str:
+    return text.lstrip()[:1].casefold()[:1]
+
+
 def copied_prefix(source: str, target: str) -> bool:
     """The target begins with the source, or the greater part of it, and goes on otherwise."""
+    if _first(source) != _first(target):
+        return False
     s, t = _copy_key(source), _copy_key(target)
     n = len(os.path.commonprefix([s, t]))
     if s == t or n < PREFIX_SHARE * len(s):
@@ -214,7 +220,7 @@ def examine(source: str | None, target: str | None, source_lang: str | None, tar
     found = []
     if refuses(source, target):
         found.append("refusal")
-    if source and _copy_key(source) == _copy_key(target):
+    if source and _first(source) == _first(target) and _copy_key(source) == _copy_key(target):
         if not wordy(target, model):
             return found
         found.append("copy")

@@ -89,3 +89,11 @@ def test_sources_that_decline_nothing_suppress_no_refusal():
     assert defects("Leider ist die Datei leer.", "I cannot assist with that request.", "de", "en")[0] == "refusal"
     assert defects("如果无法打开文件,请重试。", "I cannot assist with that request.", "zh", "en")[0] == "refusal"
     assert "refusal" not in defects("Vela cannot open it.", "Vela is unable to process it.")
+
+
+def test_texts_that_begin_differently_are_not_compared_whole(monkeypatch):
+    compared = []
+    whole = P._copy_key
+    monkeypatch.setattr(P, "_copy_key", lambda text: compared.append(text) or whole(text))
+    assert defects(EN[0], DE[0]) == [] and not compared
+    assert defects("ẞeta pumps", " SSETA  pumps.")[0] == "copy" and compared
