@@ -5,8 +5,7 @@ of the answer, abrupt endings, missing sentences, unclosed delimiters and copied
 defect that a pair shows, ``found`` the first in the order of DEFECTS that makes it a broken pair.
 Units with template residue (problem 1) are left out by that problem's own result.
 
-The language of a text is told by word counts per language, fitted on about ``FIT_ROWS`` source cells
-(never over twice as many; chosen by the hash of the key); all else looks at every row alone.
+The language of a text is told by word counts per language over all source cells; all else looks at every row alone.
 
 Defined results: a null or blank target is ``empty``; a null source can't be copied, refused or
 cut, so only emptiness, refusal and language are looked at; language tags are compared by their
@@ -15,6 +14,7 @@ first two letters in any spelling, and a null or unknown tag has no wrong langua
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import os.path
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import residue
 from bitloom.llm.refusals import refuses
-from bitloom.runtime import bounded_sample, checkpoint, semi_join_ids, spread
+from bitloom.runtime import checkpoint, semi_join_ids, spread
 
 #: Every defect, in order; a pair's first one that isn't among DETAILS is its defect.
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated", "unclosed_delimiter", "copied_prefix")
@@ -36,11 +36,13 @@ DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated", "unclosed_
 DETAILS = ("unclosed_delimiter", "copied_prefix")
 #: A copied beginning is at least this share of the source, with so many words (or Chinese characters).
 PREFIX_SHARE, PREFIX_WORDS, PREFIX_HAN = 0.5, 3, 8
-#: Bound of the sample on which the language model is fitted, in rows.
-FIT_ROWS = 20_000
+#: Different words that a task counts before it hands them on.
+WORDS_HELD = 400_000
 LANGUAGES = ("en", "zh", "de", "es")
 #: How much more likely (natural logarithm) another language must be than the wanted one.
 MARGIN = 3.0
+#: Share that is added to every word's in every language. Words that make up less of each language (mostly names) hardly tell
+#: languages apart; all are counted, but the model is of the others, so it has at most 1 / FLOOR words a language.
 FLOOR = 1e-5
 
 # Usual length of the same text in each language, relative to English; a Chinese character counts HAN_WIDTH.
@@ -57,6 +59,9 @@ _KEPT = re.compile(
     r"```.*?```|`[^`]*`|https?://[!-~]+|[!-~]+@[!-~]+|\{\{[^{}]*\}\}|<[^<>]*>|%[sd]"
     r"|[A-Za-z0-9_.-]*\d[A-Za-z0-9_.-]*|[A-Za-z0-9]+[:/_.][A-Za-z0-9]+", re.S
 )
+#: What may stay over several words; what anything else that stays as it is has.
+_SPANNING = re.compile(r"[`{<]")
+_KEPT_SIGN = re.compile(r"[\d@%]|[:/_.][A-Za-z0-9/]")
 _LOWER_WORD = re.compile(r"\b[^\W\d_A-Z㐀-鿿][^\W\d_㐀-鿿]{2,}")
 _ANY = re.compile(r"[^\W_]")
 _STOP = re.compile(r"[.!?。！？]+[\"”’»」)\]]*(?=\s|$|[㐀-䶿一-鿿A-Z\"“«„])")
@@ -100,24 +105,68 @@ class Model:
         return max(scores) - scores[i] > MARGIN
 
 
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, word, n): how often a word occurs in the cells of a language, in parts, which add up; the empty word stands for all."""
+    counts: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+
+    def counted() -> pd.DataFrame:
+        rows = [(lang, w, n) for lang, c in counts.items() for w, n in (("", c.total()), *c.items())]
+        return pd.DataFrame(rows, columns=["lang", "word", "n"])
+
+    for b in batches:
+        for lang, texts in b.groupby("lang")["source"]:
+            if lang in counts:
+                counts[lang].update(count_words(texts))
+        if sum(map(len, counts.values())) >= WORDS_HELD:
+            yield counted()
+            for c in counts.values():
+                c.clear()
+    yield counted()
+
+
+def count_words(texts: Iterable[str]) -> Counter:
+    """The words of the bare texts, in lower case. What stands between blanks is counted first, and looked at once for all its places."""
+    out: Counter = Counter()
+    pieces: Counter = Counter()
+    for text in texts:
+        if _SPANNING.search(text):
+            out.update(_TOKEN.findall(bare(text).lower()))
+        else:
+            pieces.update(text.split())
+    for piece, n in pieces.items():
+        for w in _TOKEN.findall((bare(piece) if _KEPT_SIGN.search(piece) else piece).lower()):
+            out[w] += n
+    return out
+
+
 def fit_languages(units: DataFrame) -> Model:
-    """token -> logarithm of its share among the tokens of each of LANGUAGES, from a bounded sample of source cells."""
-    rows = (
-        bounded_sample(units.select("unit_key", "source_lang", "source"), "unit_key", FIT_ROWS)
-        .where(F.col("source").isNotNull() & F.col("source_lang").isNotNull())
-        .select(tag(F.col("source_lang")).alias("lang"), "source").collect()
+    """token -> logarithm of its share among the tokens of each of LANGUAGES, counted over all source cells."""
+    cells = units.select(tag(F.col("source_lang")).alias("lang"), "source").where(F.col("source").isNotNull() & F.col("lang").isin(*LANGUAGES))
+    counts = checkpoint(
+        spread(cells).mapInPandas(_word_counts, "lang string, word string, n long")
+        .groupBy("word").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(x) for x in LANGUAGES])
     )
-    return language_model((r.lang, r.source) for r in rows)
+    every = counts.where(F.col("word") == "").first()
+    totals = {x: every[x] if every else 0 for x in LANGUAGES}
+    usual = [(F.col(x) > 1) & (F.col(x) > FLOOR * totals[x]) for x in LANGUAGES]
+    rows = counts.where((F.col("word") != "") & functools.reduce(Column.__or__, usual)).toArrow().to_pylist()
+    return _model({r["word"]: tuple(r[x] for x in LANGUAGES) for r in rows}, totals)
 
 
 def language_model(samples: Iterable[tuple[str, str]]) -> Model:
-    counts: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
+    """The same on one machine."""
+    texts: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
     for lang, text in samples:
-        if lang in counts:
-            counts[lang].update(_TOKEN.findall(bare(text).lower()))
-    totals = {lang: sum(c.values()) or 1 for lang, c in counts.items()}
-    words = {w for c in counts.values() for w, n in c.items() if n > 1}
-    return Model({w: tuple(math.log(counts[x][w] / totals[x] + FLOOR) for x in LANGUAGES) for w in words})
+        if lang in texts:
+            texts[lang].append(text)
+    counts = [count_words(texts[lang]) for lang in LANGUAGES]
+    totals = {lang: c.total() for lang, c in zip(LANGUAGES, counts)}
+    words = {w for lang, c in zip(LANGUAGES, counts) for w, n in c.items() if n > 1 and n > FLOOR * totals[lang]}
+    return _model({w: tuple(c[w] for c in counts) for w in words}, totals)
+
+
+def _model(counts: dict[str, tuple[int, ...]], totals: dict[str, int]) -> Model:
+    return Model({w: tuple(math.log(n / (totals[x] or 1) + FLOOR) for x, n in zip(LANGUAGES, ns)) for w, ns in counts.items()})
 
 
 def _copy_key(text: str) -> str:

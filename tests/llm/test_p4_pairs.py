@@ -97,3 +97,22 @@ def test_texts_that_begin_differently_are_not_compared_whole(monkeypatch):
     monkeypatch.setattr(P, "_copy_key", lambda text: compared.append(text) or whole(text))
     assert defects(EN[0], DE[0]) == [] and not compared
     assert defects("ẞeta pumps", " SSETA  pumps.")[0] == "copy" and compared
+
+
+def test_language_model_counts_every_cell(spark, monkeypatch):
+    # one German cell in a thousand English ones, and a language that few rows have: a sample of the rows would miss most of it
+    rows = [(i, "en-GB", EN[i % 3]) for i in range(45_000)] + [(50_000 + i, "de", DE[i % 3]) for i in range(45)] + [(60_000, None, ES[0]), (60_001, "es", None), (60_002, "fr", "pompes")]
+    units = spark.createDataFrame(rows, "unit_key long, source_lang string, source string")
+    model = P.fit_languages(units)
+    assert model.logs == P.language_model([((lang or "")[:2], t) for _, lang, t in rows if t]).logs and "webstühle" in model.logs and "pompes" not in model.logs
+    assert {w: P.LANGUAGES[v.index(max(v))] for w, v in model.logs.items() if w in ("webstühle", "looms")} == {"webstühle": "de", "looms": "en"}
+    monkeypatch.setattr(P, "WORDS_HELD", 1)
+    assert P.fit_languages(units).logs == model.logs
+    assert P.fit_languages(units.limit(0)).logs == {}
+
+
+def test_words_are_counted_as_in_bare_texts():
+    texts = ["Open `vela --limit` now.", "a < b", "c > d", "https://vela.example/9 pumps", "{{ name }} pumps {", "HB-81, x:y 4.2 50%s", "Ärzte/Ämter:Pumpen", "请在第9节 vela@x.y", "İx Σας ΣΑΣ", "", " \n"] * 3
+    from collections import Counter
+
+    assert P.count_words(texts) == Counter(w for t in texts for w in P._TOKEN.findall(P.bare(t).lower()))
