@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -62,16 +63,18 @@ CROSSING, JOINED, LEAST = 0.36, 0.5, 0.36
 #: What names that differ on both sides take from it.
 CONFLICT = 0.15
 
-_LATIN = re.compile(r"[A-Za-z]+(?:-\d+)|\d+(?:[.,]\d+)*|[^\W\d_㐀-鿿]+")
+_ASCII = re.compile(r"[a-z]++(?:-\d++)?|\d+(?:[.,]\d+)*")
+_LATIN = re.compile(r"[A-Za-z]++(?:-\d+)|\d+(?:[.,]\d+)*|[^\W\d_㐀-鿿]+")
 _HAN_RUN = re.compile(r"[㐀-鿿]+")
 
 
 def tokens(text: str) -> list[str]:
     """Words in lower case, numbers and codes; Chinese text by pairs of characters."""
+    if text.isascii():
+        return _ASCII.findall(text.lower())
     out = [w.lower() for w in _LATIN.findall(text)]
-    if not text.isascii():
-        for run in _HAN_RUN.findall(text):
-            out.extend(run[i : i + 2] for i in range(len(run) - 1)) if len(run) > 1 else out.append(run)
+    for run in _HAN_RUN.findall(text):
+        out += map(add, run, run[1:]) if len(run) > 1 else [run]
     return out
 
 
@@ -92,8 +95,10 @@ def weight(n, left, right, rows):
 def _sides(b: pd.DataFrame) -> Iterator[tuple[str, list[set[str]]]]:
     """(pair of languages, words of either side); both directions count together."""
     for sl, tl, s, t in zip(b["sl"], b["tl"], b["source"], b["target"]):
-        (la, a), (lb, b) = sorted(((sl or "", s), (tl or "", t)), key=lambda x: x[0])
-        yield f"{la} {lb}", [{w for w in tokens(x) if not w[0].isdigit()} for x in (a, b)]
+        la, lb = sl or "", tl or ""
+        if lb < la:
+            la, lb, s, t = lb, la, t, s
+        yield f"{la} {lb}", [{w for w in tokens(x) if not w[0].isdigit()} for x in (s, t)]
 
 
 def _alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,6 +113,17 @@ def _alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["pair", "side", "word", "n"])
 
 
+def merged_counts(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of two counts, each by distinct rising keys."""
+    at = np.searchsorted(a, b)
+    known = np.zeros(len(b), bool)
+    inside = at < len(a)
+    known[inside] = a[at[inside]] == b[inside]
+    na = na.copy()
+    na[at[known]] += nb[known]
+    return np.insert(a, at[~known], b[~known]), np.insert(na, at[~known], nb[~known])
+
+
 def _meeting(
     least: np.ndarray, most: np.ndarray, at_once: int, held: int, batches: Iterator[pd.DataFrame]
 ) -> Iterator[pd.DataFrame]:
@@ -135,7 +151,7 @@ def _meeting(
                 known[w] = number(key, w)
         return [i for w in side if (i := known[w]) >= 0]
 
-    def add() -> None:
+    def count() -> None:
         (a, b), (na, nb) = ([np.array([i for x in side for i in x], np.int64) for side in sides_of], [np.array([len(x) for x in side], np.int64) for side in sides_of])
         lo, hi = np.array(low, np.float32), np.array(high, np.float32)
         times = np.repeat(nb, na)  # of each word of one side, the words that it meets
@@ -145,8 +161,7 @@ def _meeting(
         keep = (hi[x] >= ratio * lo[y]) & (hi[y] >= ratio * lo[x])
         met, n = np.unique((x[keep] << 32) | y[keep], return_counts=True)
         if parts:
-            met, back = np.unique(np.concatenate([parts[0][0], met]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([parts[0][1], n]), len(met)).astype(np.int64)
+            met, n = merged_counts(*parts[0], met, n)
         parts[:] = [(met, n)]
         for side in sides_of:
             side.clear()
@@ -164,14 +179,14 @@ def _meeting(
             for k in (0, 1):
                 sides_of[k].append(found[k])
             if room >= at_once:
-                add()
+                count()
                 room = 0
                 if len(parts[0][0]) >= held:
                     yield counted()
                     for x in (ids, low, high, words, parts):
                         x.clear()
     if sides_of[0]:
-        add()
+        count()
     if parts:
         yield counted()
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,21 @@ def test_blocks_against_the_whole(spark):
     whole = {(a, b) for a, b, _ in B.align_cells(cell, LEXICON)}
     got = {(a, b) for _, a, b in run(spark, {1: cells(s, out)})}
     assert len(got & whole) >= 0.98 * len(whole) and len(got - whole) <= 0.02 * len(whole), (len(got), len(whole), len(got & whole))
+
+
+def test_counts_are_merged_by_key():
+    import collections
+
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 5, 400):
+        a, b = (np.unique(rng.integers(0, 500, n), return_counts=True) for n in (size, 300))
+        want = collections.Counter(dict(zip(*map(np.ndarray.tolist, a)))) + collections.Counter(dict(zip(*map(np.ndarray.tolist, b))))
+        for x, y in ((a, b), (b, a)):
+            keys, n = B.merged_counts(*x, *y)
+            assert list(zip(keys.tolist(), n.tolist())) == sorted(want.items())
+
+
+@pytest.mark.parametrize("text", ["Pump AB-12, ab-1b 1.2,3. x_y-4 _a-5 A-B-7z9", "İx-9 Straße ſ-3 中a中-3文 字", "在启动Vela-9之前 9.5", "", "\u212a-2 K-2"])
+def test_tokens_in_ascii_are_those_of_any_text(text):
+    tail = "" if not text.isascii() else "é"
+    assert B.tokens(text) == B.tokens(f"{text} {tail}")[: len(B.tokens(text))] and len(B.tokens(f"{text} {tail}")) == len(B.tokens(text)) + len(tail)
